@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, sharding, threshold_topk, token_counts
+from lodestone.llm import code_switch, lsh_forest, mixing, quality, sharding, threshold_topk, token_counts
 
 QUERIES = {
+    "op1_code_switch_language": code_switch.op1,
     "op3_stratified_interleave": sharding.op3,
     "op5_threshold_topk": threshold_topk.op5,
     "op7_mix_to_weights": mixing.op7,
+    "op8_lsh_forest": lsh_forest.op8,
     "op9_prefix_token_counts": token_counts.op9,
+    "op10_random_indexing_quality": quality.op10,
 }
 
 ORACLES = {
