@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import code_switch, lsh_forest, mixing, quality, sharding, threshold_topk, token_counts
+from lodestone.llm import code_switch, html_lines, lsh_forest, mixing, quality, sharding, spaced_seeds, threshold_topk, token_counts
 
 QUERIES = {
     "op1_code_switch_language": code_switch.op1,
     "op3_stratified_interleave": sharding.op3,
+    "op4_line_block_text": html_lines.op4,
     "op5_threshold_topk": threshold_topk.op5,
+    "op6_spaced_seed_decontamination": spaced_seeds.op6,
     "op7_mix_to_weights": mixing.op7,
     "op8_lsh_forest": lsh_forest.op8,
     "op9_prefix_token_counts": token_counts.op9,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_threshold_topk": threshold_topk.OP5_SQL,
+    "op6_spaced_seed_decontamination": spaced_seeds.oracle_sql(),
     "op7_mix_to_weights": mixing.OP7_SQL,
 }
