@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import code_switch, html_lines, lsh_forest, mixing, quality, sharding, spaced_seeds, threshold_topk, token_counts
+from lodestone.llm import code_switch, html_lines, lsh_forest, mixing, quality, secret_forest, sharding, spaced_seeds, threshold_topk, token_counts
 
 QUERIES = {
     "op1_code_switch_language": code_switch.op1,
+    "op2_secret_forest": secret_forest.op2,
     "op3_stratified_interleave": sharding.op3,
     "op4_line_block_text": html_lines.op4,
     "op5_threshold_topk": threshold_topk.op5,
