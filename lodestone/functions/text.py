@@ -148,6 +148,7 @@ def join_path(base: Column, rel: Column) -> Column:
 
 def utf8_clip(c: Column | str, n: int) -> Column:
     """The longest prefix of at most ``n`` bytes that ends between characters."""
+    c = F.col(c) if isinstance(c, str) else c
     raw = F.encode(c, "UTF-8")
     cut = F.substring(raw, 1, n)
     ends = [F.substring(raw, 1, n - k) for k in range(4)]
