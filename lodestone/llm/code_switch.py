@@ -25,9 +25,9 @@ ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +43,55 @@ WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
-def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    w = word.lower()
-    marked = f"<{w}>"
-    out = [f"w{w}" if len(w) < 24 else "wlong", "up" if word.isupper() else "title" if word[0].isupper() else "low", f"len{min(len(w), 12)}"]
-    out += [f"p{w[:n]}" for n in (1, 2, 3) if len(w) >= n] + [f"s{w[-n:]}" for n in (1, 2, 3) if len(w) >= n]
-    out += [f"g{marked[i : i + n]}" for n in (2, 3) for i in range(min(len(marked) - n + 1, 16))]
-    out += [f"c{c}" for c in set(w) if c > "\x7f"]
-    if w in lexicon:
-        out.append(f"lexicon{lexicon[w]}")
-    return [zlib.crc32(f.encode()) % WEIGHTS for f in out]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MARKS = {"start": np.uint64(1), "end": np.uint64(2)}
+
+
+def _hashed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Places in the table of weights for features of one kind, from their parts."""
+    h = np.uint64(kind * int(_MIX) & (1 << 64) - 1)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * _MIX
+        h = h ^ (h >> np.uint64(31))
+    return (h % np.uint64(WEIGHTS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of all features of distinct words, sorted by owner: word, case, length, prefixes and suffixes of 1 to 3 letters, 2- and 3-grams with the word's ends, letters beyond ASCII, lexicon."""
+    low = [w.lower() for w in words]
+    n = np.array([len(w) for w in low], dtype=np.int64)
+    letters = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(low)), n)
+    starts = np.cumsum(n) - n
+    # with a mark before and after each word
+    marked = np.empty(len(letters) + 2 * len(low), dtype=np.uint64)
+    inside = np.arange(len(letters)) + 2 * owner + 1
+    marked[inside] = letters
+    marked[starts + 2 * np.arange(len(low))], marked[starts + n + 2 * np.arange(len(low)) + 1] = _MARKS["start"], _MARKS["end"]
+    of = np.repeat(np.arange(len(low)), n + 2)
+    out = []
+    for k in (2, 3):
+        ok = of[: len(of) - k + 1] == of[k - 1 :]
+        out.append((of[: len(of) - k + 1][ok], _hashed(k, *[marked[i : len(marked) - k + 1 + i] for i in range(k)])[ok]))
+    every = np.arange(len(low))
+    for k in (1, 2, 3):
+        long = n >= k
+        out.append((every[long], _hashed(10 + k, *[letters[starts[long] + i] for i in range(k)])))
+        out.append((every[long], _hashed(20 + k, *[letters[starts[long] + n[long] - k + i] for i in range(k)])))
+    place = np.arange(len(letters)) - np.repeat(starts, n)
+    whole = np.zeros(len(low), dtype=np.uint64)
+    np.add.at(whole, owner, (letters + np.uint64(7)) * (_MIX ** (place.astype(np.uint64) + np.uint64(1))))
+    out.append((every, _hashed(30, whole)))
+    case = np.array([2 if w.isupper() else 1 if w[0].isupper() else 0 for w in words], dtype=np.uint64)
+    out.append((every, _hashed(31, case)))
+    out.append((every, _hashed(32, np.minimum(n, 12))))
+    beyond = letters > 127
+    out.append((owner[beyond], _hashed(33, letters[beyond])))
+    known = np.array([lexicon.get(w, -1) for w in low], dtype=np.int64)
+    out.append((every[known >= 0], _hashed(34, known[known >= 0])))
+    owners, places = np.concatenate([o for o, _ in out]), np.concatenate([p for _, p in out])
+    order = np.argsort(owners, kind="stable")
+    return owners[order], places[order]
 
 
 def side_by_side(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,22 +133,23 @@ def forward_backward(emission: np.ndarray, active: np.ndarray, transition: np.nd
 
 
 class Field:
-    def __init__(self, labels: Sequence[str], weights: np.ndarray, transition: np.ndarray, lexicon: dict[str, str]):
+    def __init__(self, labels: Sequence[str], weights: np.ndarray, transition: np.ndarray, lexicon: dict[str, int]):
         self.labels, self.weights, self.transition, self.lexicon = list(labels), weights, transition, lexicon
-        self._start()
-
-    def _start(self) -> None:
-        field = self
-
-        class Rows(dict):
-            def __missing__(rows, word: str) -> int:  # noqa: N805
-                if len(rows) == len(field.table):
-                    field.table = np.concatenate([field.table, np.empty_like(field.table)])
-                field.table[len(rows)] = field.weights[features(word, field.lexicon)].sum(axis=0)
-                rows[word] = n = len(rows)
-                return n
-
-        self.rows, self.table = Rows(), np.empty((1 << 16, len(self.labels)), dtype=np.float32)
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((1 << 16, len(self.labels)), dtype=np.float32)
+
+    def learn_rows(self, words: set[str]) -> None:
+        """Emissions of words not met yet, all at once."""
+        new = [w for w in words if w not in self.rows]
+        if not new:
+            return
+        owner, place = features(new, self.lexicon)
+        begins = np.searchsorted(owner, np.arange(len(new)))
+        at = len(self.rows)
+        while at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[at : at + len(new)] = np.add.reduceat(self.weights[place], begins, axis=0)
+        self.rows.update(zip(new, range(at, at + len(new)), strict=True))
 
     def __getstate__(self):
         return self.labels, self.weights, self.transition, self.lexicon
@@ -124,7 +164,9 @@ class Field:
             return [np.empty((0, len(self.labels)))] * len(texts)
         if len(self.rows) >= REMEMBERED:
             self.rows.clear()
-        words = np.fromiter((r for t in texts for r in map(self.rows.__getitem__, t)), dtype=np.int64, count=int(lengths.sum()))
+        flat = list(chain.from_iterable(texts))
+        self.learn_rows(set(flat))
+        words = np.fromiter(map(self.rows.__getitem__, flat), dtype=np.int64, count=len(flat))
         place, active, _ = side_by_side(lengths)
         emission = np.empty((len(words), len(self.labels)))
         emission[place] = self.table[words]
@@ -143,12 +185,11 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 11) -> Field | None:
     for lab, words in samples:
         for w in set(map(str.lower, words)):
             seen[w][lab] += 1
-    lexicon = {w: c.most_common(1)[0][0] for w, c in seen.items() if sum(c.values()) >= 5 and max(c.values()) >= 0.9 * sum(c.values())}
+    lexicon = {w: number[c.most_common(1)[0][0]] for w, c in seen.items() if sum(c.values()) >= 5 and max(c.values()) >= 0.9 * sum(c.values())}
     rng = np.random.default_rng(seed)
     by = defaultdict(list)
     for lab, words in samples:
         by[lab].append(words)
-    known: dict[str, np.ndarray] = {}
     sequences = []
     for _ in range(SEQUENCES):
         words, tags = [], []
@@ -159,16 +200,15 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 11) -> Field | None:
             words += source[at : at + n]
             tags += [number[lab]] * len(source[at : at + n])
         sequences.append((words, tags))
-    widest = 56
+    vocabulary = sorted({w for words, _ in sequences for w in words})
+    owner, place_of = features(vocabulary, lexicon)
+    begins = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
+    nth, widest = {w: i for i, w in enumerate(vocabulary)}, int(np.diff(begins).max())
+    table = np.full((len(vocabulary), widest), WEIGHTS)
+    table[owner, np.arange(len(owner)) - begins[owner]] = place_of
     weights, transition = np.zeros((WEIGHTS + 1, len(labels))), np.zeros((len(labels), len(labels)))
     w_past, t_past = np.full_like(weights, 1e-6), np.full_like(transition, 1e-6)
 
-    def padded(word: str) -> np.ndarray:
-        if word not in known:
-            f = list(dict.fromkeys(features(word, lexicon)))[:widest]
-            known[word] = np.array(f + [WEIGHTS] * (widest - len(f)))
-        return known[word]
-
     for _ in range(ROUNDS):
         order = rng.permutation(len(sequences))
         for at in range(0, len(order), BATCH):
@@ -176,7 +216,7 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 11) -> Field | None:
             lengths = np.array([len(w) for w, _ in part])
             place, active, _ = side_by_side(lengths)
             f = np.empty((lengths.sum(), widest), dtype=np.int64)
-            f[place] = np.stack([padded(w) for ws, _ in part for w in ws])
+            f[place] = table[[nth[w] for ws, _ in part for w in ws]]
             tags = np.empty(lengths.sum(), dtype=np.int64)
             tags[place] = [t for _, ts in part for t in ts]
             both, joint = forward_backward(weights[f].sum(axis=1), active, transition, pairs=True)
