@@ -38,8 +38,11 @@ _RAW = frozenset("script style textarea title noscript template xmp iframe noemb
 _DROPPED = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video map datalist".split())
 _ENDED_BY_BLOCK = frozenset("p li dt dd option td th tr".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = frozenset("nav navbar menu header masthead topbar footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar skip".split())
-_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "footer", "navbar", "navigation", "sponsor", "breadcrumb", "disqus", "promo")
+_NAMES = frozenset("nav navbar menu header masthead topbar footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar skip teaser disclaimer paywall cta".split())
+_STARTS = ("comment", "advert", "adsby", "sidebar", "cookie", "newsletter", "footer", "navbar", "navigation", "sponsor", "breadcrumb", "disqus", "promo")
+_ENDS = ("nav", "menu", "sidebar", "footer", "comments", "advert", "banner")
+#: Of several articles those count that are at least this share of the longest; a page's articles count if they hold this share of the heaviest passage outside.
+ARTICLE_SHARE, CONTENT_SHARE = 0.5, 0.3
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -48,7 +51,7 @@ _SPACE = re.compile(r"\s+")
 def _boilerplate(name: str, attributes: str, in_content: bool) -> bool:
     if name in _DROPPED or name == "header" and not in_content:
         return True
-    if not attributes or name in ("html", "body", "main", "article"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
@@ -60,7 +63,7 @@ def _boilerplate(name: str, attributes: str, in_content: bool) -> bool:
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
                 # the last part says what it is: "page-footer" is a footer, "footer-free" is not
-                if parts and (parts[-1] in _NAMES or parts[0].startswith(_STARTS) or len(parts) > 1 and parts[0] in ("ad", "ads", "nav", "menu", "social", "share", "related", "cookie")):
+                if parts and (parts[-1] in _NAMES or parts[0].startswith(_STARTS) or parts[-1].endswith(_ENDS) or len(parts) > 1 and parts[0] in ("ad", "ads", "nav", "menu", "social", "share", "related", "cookie", "teaser")):
                     return not (parts[-1] == "header" and in_content)
     return False
 
@@ -72,8 +75,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     at = links = content = 0
     in_link = False
     drop, depth = "", 0
-    has_content = re.search(r"<(?:article|main)\b", html, re.I)
-    ends = [m.start() for m in re.finditer(r"<(?:article|main)\b", html, re.I)] if has_content else []
+    ends = content_places(html)
 
     def end_line(blank: int = 0) -> None:
         nonlocal links
@@ -114,9 +116,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 drop = ""
             if drop or closing:
                 continue
-        if name in ("article", "main"):
+        if name in ("article", "main") and (closing or content or m.start() in ends):
             end_line(1)
-            content = max(0, content + (-1 if closing else 1))
+            content = max(0, content - 1) if closing else content + (not _boilerplate(name, m.group(3) or "", True))
+            if not closing and _boilerplate(name, m.group(3) or "", True):
+                drop, depth = name, 1
             continue
         if name == "a":
             in_link = not closing
@@ -126,13 +130,39 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             end_line()
         if not closing and name not in _SELF_CLOSED and _boilerplate(name, m.group(3) or "", content > 0) and not m.group(0).endswith("/>"):
             # what holds the article is not dropped for its name
-            if not ends or content or name in _DROPPED - {"form"} or not _holds(html, name, pos, ends):
+            if not ends or content or name == "article" or name in _DROPPED - {"form"} or not _holds(html, name, pos, ends):
                 end_line(WINDOW)
                 drop, depth = name, 1
     end_line()
     return out
 
 
+_CONTENT = re.compile(r"<(/?)(article|main)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+
+
+def content_places(html: str) -> list[int]:
+    """Where the elements begin that hold the page's text: the longest articles that are not comments or teasers, else ``main``."""
+    open_, spans = [], []
+    for m in _CONTENT.finditer(html):
+        name = m.group(2).lower()
+        if not m.group(1):
+            open_.append((name, m.start(), _boilerplate(name, m.group(3), True), len(open_)))
+        else:
+            while open_:
+                was = open_.pop()
+                spans.append((*was, m.end()))
+                if was[0] == name:
+                    break
+    spans += [(*was, len(html)) for was in open_]
+    for wanted in ("article", "main"):
+        outer = [(end - start, start) for name, start, bad, _, end in spans if name == wanted and not bad]
+        outer = [x for x in outer if not any(n == wanted and a < x[1] and x[1] < e for n, a, _, _, e in spans)]
+        if outer:
+            most = max(outer)[0]
+            return sorted(start for size, start in outer if size >= ARTICLE_SHARE * most)
+    return []
+
+
 def _holds(html: str, name: str, begin: int, ends: list[int]) -> bool:
     """Whether the element that begins here holds one of these places."""
     later = [e for e in ends if e >= begin]
@@ -164,7 +194,10 @@ def passages(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    within = any(inside and text for text, _, inside in lines)
+    inside = sum(len(text) for text, _, inside in lines if inside)
+    outside = [("", 0, False) if line[2] else line for line in lines]
+    rival = max((sum(len(t) - k for t, k, _ in outside[a:b]) for a, b in passages(outside)), default=0)
+    within = inside > 0 and inside >= CONTENT_SHARE * rival
     if within:
         lines = [line if line[2] else ("", 0, False) for line in lines]
     found = []

@@ -23,6 +23,13 @@ def test_article_keeps_all_its_blocks():
     assert main_text(page) == "Head\nOne.\nT&wo\n3"
 
 
+def test_comments_and_teasers_in_article_elements():
+    page = "<body><main><div class=sidebar><article><h3>Other</h3><p>short</p></article></div><article class=post><p>The text of the page, long enough to be longer than twice a teaser.</p><p>End</p></article><div id=comments><article class=comment><p>I liked it and I say so at length here.</p></article></div><section class=related-posts><article class=teaser><p>More</p></article></section></main>"
+    assert main_text(page) == "The text of the page, long enough to be longer than twice a teaser.\nEnd"
+    teasers = "<body><div class=story>" + "<p>A paragraph of the real text that goes on.</p>" * 5 + "</div><div><article><p>tiny</p></article></div>"
+    assert main_text(teasers).startswith("\n".join(["A paragraph of the real text that goes on."] * 5))
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<div>") == main_text("<!-- never closed") == ""
     assert main_text("<p>a &am") == "a &am"
