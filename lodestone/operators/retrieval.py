@@ -16,24 +16,29 @@ from lodestone.operators.common import is_small
 rounded = lambda c: F.round(c, DECIMALS)
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """key, term, tf: every term with its weighted count; field weights as given."""
-    rows = [docs.select(key, F.explode(all_terms(f)).alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.groupBy(key, "term").agg(F.sum("w").cast("long").alias("tf"))
+def terms_of(docs: DataFrame, key: str, fields: dict[str, int], *more: Column) -> DataFrame:
+    """key, ts, len: the terms of all fields with their weights, and the weighted length; tokenised once."""
+    arrays = docs.select(key, *more, *[F.coalesce(all_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)])
+    with_weight = lambda w: lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))  # noqa: E731  a second parameter would be the index
+    weighted = [F.transform(f"_t{i}", with_weight(w)) for i, w in enumerate(fields.values())]
+    size = sum((F.size(f"_t{i}") * w for i, w in enumerate(fields.values())), F.lit(0))
+    kept = [c for c in arrays.columns if not c.startswith("_t")]
+    return arrays.select(*kept, F.concat(*weighted).alias("ts"), size.cast("long").alias("len"))
+
 
+def exploded(terms: DataFrame, *kept: str) -> DataFrame:
+    """One row a term. The outer form, since for the inner one a filter on the whole tokeniser would be inferred below it."""
+    return terms.select(*kept, F.explode_outer("ts").alias("_x")).select(*kept, "_x.term", "_x.w").where("term is not null")
 
-def lengths(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """key, len: weighted number of terms, taken in place (no shuffle)."""
-    n = sum((F.coalesce(F.size(all_terms(f)), F.lit(0)) * w for f, w in fields.items()), F.lit(0))
-    return docs.select(key, n.cast("long").alias("len"))
+
+def postings(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
+    """key, term, tf: every term with its weighted count; field weights as given."""
+    return exploded(terms_of(docs, key, fields), key).groupBy(key, "term").agg(F.sum("w").cast("long").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """One row: n, total_len, avgdl, over the whole corpus whatever is filtered later."""
-    return lengths(docs, key, fields).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"), F.avg("len").alias("avgdl"))
+    """One row: n, total_len, avgdl, over the whole corpus whatever is filtered later; lengths are taken in place."""
+    return terms_of(docs, key, fields).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"), F.avg("len").alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -51,17 +56,13 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame,
     few = is_small(asked)
     mark = F.broadcast if few else (lambda d: d)
     terms = mark(asked.select("term").distinct())
-    kept = docs.select(key, *[c for c in fields], *([keep.alias("_keep")] if keep is not None else []))
-    exploded = None
-    for f, w in fields.items():
-        rows = kept.select(key, F.explode(all_terms(f)).alias("term"), F.lit(w).alias("w"))
-        exploded = rows if exploded is None else exploded.union(rows)
-    hits = exploded.join(terms, "term").groupBy(key, "term").agg(F.sum("w").cast("long").alias("tf"))
+    own = [key, "len", "_keep"]
+    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"))
+    hits = exploded(rows, *own).join(terms, "term").groupBy(*own, "term").agg(F.sum("w").cast("long").alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(docs, key, fields)
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # one row of statistics
-    size = lengths(kept if keep is None else kept.where("_keep"), key, fields)
-    scored = hits.join(mark(weights), "term").join(size, key).join(mark(asked), "term")
+    scored = hits.where("_keep").join(mark(weights), "term").join(mark(asked), "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     out = scored.groupBy("query", key).agg(F.sum(part).alias("score"))
