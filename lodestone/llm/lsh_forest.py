@@ -3,10 +3,12 @@
 1. Every text becomes its set of n-word shingles, named by a 96-bit digest, with a signature of
    16 trees x 8 minhash codes. Rows with equal sets collapse into one node, so that copies cost
    nothing from here on.
-2. Each tree orders nodes by its eight codes. Nodes with a common prefix of four codes form a
-   region; a region of more than ``REGION`` nodes is cut at a deeper prefix, six or eight codes, and
-   beyond eight by hash, each part keeping the region's first node. A pair at similarity 0.8 misses
-   the four codes in all sixteen trees once in five thousand times.
+2. In each tree nodes with a common prefix of four of their eight codes form a region. A pair at
+   similarity 0.8 misses the four codes in all sixteen trees once in five thousand times. A region
+   of more than ``REGION`` nodes is dealt by hash into parts that share ``PIVOTS`` of its nodes;
+   then nodes outside its main tentative component are laid, block by block, against all of the
+   region, so that every pair of a region is compared or already joined. That costs (nodes outside)
+   x (nodes of the region) / ``REGION`` rows.
 3. Within a region whole signatures are compared, and nodes that agree in at least ``TENTATIVE``
    of the codes (four standard deviations under the threshold) are joined to tentative components.
 4. Each tentative component gets the texts of its nodes once; there links are confirmed on the
@@ -35,9 +37,9 @@ from lodestone.llm.common import cut, small_or_shuffled
 from lodestone.llm.components import components
 from lodestone.llm.shingles import MinHash, set_id, shingle_set
 
-TREES, DEPTHS = 16, (4, 6, 8)
-CODES = TREES * DEPTHS[-1]
-REGION = 1_024
+TREES, DEPTH = 16, 4
+CODES = TREES * 8
+REGION, PIVOTS = 1_024, 16
 BLOCK_NODES, BLOCK_SHINGLES = 1_000, 1_000_000
 TENTATIVE = 0.64
 
@@ -136,42 +138,67 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
+def _crossed(group: dict[str, list]) -> list[tuple]:
+    """Links between labels: every asking node against all others of its group that bear another label."""
+    names = {name: i for i, name in enumerate(dict.fromkeys(group["label"]))}
+    asks, known = np.array(group["asks"]), list(names)
+    if len(names) == 1 or not asks.any():
+        return []
+    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(len(asks), -1)
+    label = np.array([names[x] for x in group["label"]])
+    first, out = label.copy(), []
+    for i in np.flatnonzero(asks):
+        others = np.flatnonzero(label != label[i])
+        for j in others[(sig[others] == sig[i]).mean(axis=1) >= TENTATIVE]:
+            if label[j] != label[i]:
+                out.append((known[first[i]], known[first[j]]))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def regions(nodes: DataFrame) -> DataFrame:
-    """group, set_id: members of the regions of all trees, two nodes at least and about ``REGION`` at most."""
-    width = 2 * DEPTHS[-1]
-    prefix = lambda d: F.expr(f"substring(_key, 1, {2 * d})")
+    """region, set_id, n: members of the regions of all trees that hold two nodes at least, and the size of the region."""
+    width, used = 2 * DEPTH, 2 * CODES // TREES
     members = nodes.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    members = members.select("set_id", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("_key"))
-    done, first = [], None
-    for depth in DEPTHS:
-        at = members.withColumn("_prefix", prefix(depth))
-        counts = at.groupBy("tree", "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("set_id").alias("_head")).where("_n > 1")
-        counts = cut(counts)
-        sized = at.join(small_or_shuffled(counts), ["tree", "_prefix"])
-        group = F.xxhash64("tree", F.lit(depth), "_prefix")
-        done.append(sized.where(F.col("_n") <= REGION).select(group.alias("group"), "set_id"))
-        if first is not None:
-            # a part of a large region keeps that region's first node
-            done.append(counts.where(F.col("_n") <= REGION).join(first, (F.col("tree") == F.col("_t")) & (F.substring("_prefix", 1, 2 * DEPTHS[0]) == F.col("_p"))).select(group.alias("group"), F.col("_h").alias("set_id")))
-        large = counts.where(F.col("_n") > REGION)
-        if large.isEmpty():
-            return _union(done)
-        if first is None:
-            first = large.select(F.col("tree").alias("_t"), F.col("_prefix").alias("_p"), F.col("_head").alias("_h"))
-        if depth == DEPTHS[-1]:
-            parts = F.ceil(F.col("_n") / REGION).cast("long")
-            part = F.xxhash64("tree", F.lit(depth), "_prefix", "_part")
-            done.append(sized.where(F.col("_n") > REGION).withColumn("_part", F.pmod(F.xxhash64("set_id"), parts)).select(part.alias("group"), "set_id"))
-            done.append(large.select("tree", "_prefix", F.col("_head").alias("set_id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part")).select(part.alias("group"), "set_id"))
-        members = sized.where(F.col("_n") > REGION).select("set_id", "tree", "_key")
-    return _union(done)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out.distinct()
+    members = members.select("set_id", F.xxhash64("tree", F.expr(f"substring(sig, tree * {used} + 1, {width})")).alias("region"))
+    counts = cut(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return members.join(small_or_shuffled(counts), "region").select("region", "set_id", "n")
+
+
+def tentative_components(nodes: DataFrame) -> DataFrame:
+    """node, root of all nodes that are joined to another by signatures that agree often enough, in some region."""
+    sigs = nodes.select("set_id", "sig")
+    placed = cut(regions(nodes))
+    large = placed.where(F.col("n") > REGION)
+    parts = F.ceil(F.col("n") / REGION).cast("long")
+    whole = placed.select("region", F.pmod(F.xxhash64("set_id"), parts).alias("part"), "set_id")
+    pivots = large.groupBy("region", "n", F.pmod(F.xxhash64("set_id", F.lit(1)), F.lit(PIVOTS))).agg(F.min("set_id").alias("set_id"))
+    shown = pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "set_id")
+    grouped = whole.union(shown).select(F.xxhash64("region", "part").alias("group"), "set_id").distinct()
+    grouped = grouped.join(sigs, "set_id").select("group", "set_id", "sig")
+    joined = cut(components(by_group(grouped, ["group"], _tentative, "a binary, b binary", LINK)))
+    if large.isEmpty():
+        return joined
+
+    # what the pivots did not bring together: nodes outside a region's main component against all of the region
+    label = F.coalesce("root", "set_id").alias("label")
+    labelled = cut(large.join(joined, F.col("node") == F.col("set_id"), "left").select("region", "set_id", "n", label))
+    shares = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("_k"))
+    mains = shares.groupBy("region").agg(F.max(F.struct("_k", "label")).alias("_m"), F.sum("_k").alias("_all"))
+    mains = cut(mains.select("region", F.col("_m.label").alias("main"), (F.col("_all") - F.col("_m._k")).alias("out")).where("out > 0"))
+    if mains.isEmpty():
+        return joined
+    rest = labelled.join(small_or_shuffled(mains), "region")
+    asking = F.ceil(F.col("out") / REGION).cast("long")
+    own = lambda count: F.pmod(F.xxhash64("set_id", F.lit(2)), count)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    asks = rest.where("label <> main").select("region", own(asking).alias("i"), every(parts).alias("j"), "set_id", "label", F.lit(True).alias("asks"))
+    asked = rest.select("region", every(asking).alias("i"), own(parts).alias("j"), "set_id", "label", F.lit(False).alias("asks"))
+    crossed = asks.union(asked).select(F.xxhash64("region", "i", "j").alias("group"), "set_id", "label", "asks")
+    crossed = crossed.join(sigs, "set_id").select("group", "label", "asks", "sig")
+    more = cut(components(by_group(crossed, ["group"], _crossed, "a binary, b binary", LINK)).select(F.col("node").alias("_node"), F.col("root").alias("_root")))
+    alone = more.join(joined, F.col("_node") == F.col("node"), "left_anti").select(F.col("_node").alias("node"), F.col("_node").alias("root"))
+    return joined.union(alone).join(more, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
 
 
 def _row_key(prefix: str = "") -> Column:
@@ -188,9 +215,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rows = signed.where("set_id is not null")
     nodes = cut(rows.groupBy("set_id", "n_shingles", "sig").agg(F.min(_row_key()).alias("row"), F.count(F.lit(1)).alias("copies")))
 
-    grouped = regions(nodes).join(nodes.select("set_id", "sig"), "set_id").select("group", "set_id", "sig")
-    tentative = components(by_group(grouped, ["group"], _tentative, "a binary, b binary", LINK))
-    tentative = cut(tentative.join(nodes.drop("sig"), F.col("node") == F.col("set_id")).select("root", "set_id", "n_shingles", "row", "copies"))
+    tentative = cut(tentative_components(nodes).join(nodes.drop("sig"), F.col("node") == F.col("set_id")).select("root", "set_id", "n_shingles", "row", "copies"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
     wholes = tentative.groupBy("root").agg(blocks.alias("blocks"), F.max(F.struct("copies", "set_id"))["set_id"].alias("pivot"), F.min("set_id").alias("pivot2"))
     placed = tentative.join(wholes, "root")

@@ -80,6 +80,20 @@ def test_large_regions_and_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((r[0], c) for r, c in zip(rows, want)), key=str)
 
 
+def test_large_region_of_a_template_family(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    template, rows = [word() for _ in range(200)], []
+    for i in range(300):  # twins at 0.8 or a little more, half alike to all other rows
+        own = [word() for _ in range(75)]
+        rows += [(2 * i, " ".join(template + own), "x", "s"), (2 * i + 1, " ".join([*template, *own[:47], *(word() for _ in range(28))]), "x", "s")]
+    want, _ = brute(rows, 4)
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect()
+    missed = [r.doc_id for r, c in zip(sorted(got), want) if r.component_id != c]
+    assert len(set(want)) == 300 and not missed, missed
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = corpus(3)
     want, s = brute(rows, 5)
