@@ -37,11 +37,15 @@ def h3(spark, sf):
 
 @query("h12_show_commit", sql="WITH a AS (SELECT user_id, event_id AS pos, value FROM events WHERE event_type = 'click') SELECT c.event_id, c.event_type, count(a.pos) AS amended, arg_max(a.value, a.pos) AS latest FROM events c LEFT JOIN a ON a.user_id = c.user_id AND a.pos > c.event_id AND a.pos < c.event_id + 500 WHERE c.event_type = 'purchase' GROUP BY ALL")
 def h12(spark, sf):
-    e = table(spark, sf, "events")
-    a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("pos"), F.col("value").alias("v"))
-    c = e.where("event_type = 'purchase'").select("event_id", "event_type", "user_id")
-    pairs = c.join(a, (c.user_id == a.user_id) & (F.col("pos") > F.col("event_id")) & (F.col("pos") < F.col("event_id") + 500), "left")
-    return pairs.groupBy("event_id", "event_type").agg(F.count("pos").alias("amended"), F.max_by("v", "pos").alias("latest"))
+    """Amendments of every commit, however late: running counts from the end of its user's events."""
+    e = table(spark, sf, "events").where("event_type in ('click', 'purchase')")
+    later = Window.partitionBy("user_id").orderBy(F.col("event_id").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    click = F.col("event_type") == "click"
+    last = F.max(F.when(click & F.col("value").isNotNull(), F.struct("event_id", "value"))).over(later)
+    found = e.select("user_id", "event_id", "event_type", F.count(F.when(click, 1)).over(later).alias("n"), last.alias("last")).where("event_type = 'purchase'")
+    known = F.col("user_id").isNotNull() & F.col("event_id").isNotNull()
+    counted = F.sum(F.when(known, F.col("n")).otherwise(F.lit(0)))
+    return found.groupBy("event_id", "event_type").agg(counted.alias("amended"), F.max(F.when(known, F.col("last")))["value"].alias("latest"))
 
 
 @query("h14_verify", sql="SELECT user_id, count(*) AS records, count(*) FILTER (event_type = 'error' AND value > 50) AS breaks FROM events GROUP BY user_id")
