@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import retrieval as R
+from lodestone.operators.common import is_small
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
 
@@ -141,11 +142,22 @@ RELEVANT = "rel AS (SELECT b.item_id AS query, d.doc_id FROM benchmark b JOIN do
 
 
 def relevant(spark, sf):
-    """query, doc_id of documents that hold an item word for word: found by its rarest term's postings, then confirmed."""
-    docs, items = table(spark, sf, "documents"), asked(spark, sf)
-    best = R.top_k(R.bm25(docs, "doc_id", BODY, items), 1 << 20, "query", "doc_id").select("query", "doc_id")
-    pairs = best.join(F.broadcast(items.withColumnRenamed("text", "needle")), "query").join(docs.select("doc_id", "text"), "doc_id")
-    return pairs.where(F.contains("text", F.col("needle"))).select("query", "doc_id")
+    """query, doc_id of documents that hold an item word for word.
+
+    What stands between two spaces of the item stands so in the document too: the rarest such piece gives the
+    candidates, all of them, which are then confirmed. Items without such a piece are laid against every document.
+    """
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), asked(spark, sf).withColumnRenamed("text", "needle")
+    mark = F.broadcast if is_small(items) else (lambda d: d)
+    cut_up = items.withColumn("_p", F.split("needle", " "))
+    inner = cut_up.where("size(_p) > 2").select("query", "needle", F.explode(F.array_distinct(F.expr("slice(_p, 2, size(_p) - 2)"))).alias("piece"))
+    hits = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("piece")).join(mark(inner.select("piece").distinct()), "piece")
+    df = hits.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(df, "piece").groupBy("query", "needle").agg(F.min(F.struct("df", "piece"))["piece"].alias("piece"))
+    pairs = hits.join(mark(rarest), "piece").select("query", "needle", "doc_id").distinct().join(docs, "doc_id")
+    every = docs.crossJoin(mark(cut_up.where("size(_p) <= 2").select("query", "needle")))
+    found = pairs.select("query", "doc_id", "text", "needle").union(every.select("query", "doc_id", "text", "needle"))
+    return found.where(F.contains("text", F.col("needle"))).select("query", "doc_id")
 
 
 def first_rank(lists, rel, items):

@@ -1,6 +1,7 @@
 """Queries keep all rows that their operator keeps, without a cut by distance or rank."""
 
-from lodestone.plans import more_queries
+from lodestone.operators import retrieval
+from lodestone.plans import more_queries, retrieval_queries
 
 
 def test_late_amendments_count(spark, tmp_path):
@@ -8,3 +9,14 @@ def test_late_amendments_count(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in more_queries.h12(spark, str(tmp_path)).collect()}
     assert got == {(1, "purchase", 3, 6.0), (950, "purchase", 1, 6.0), (5001, "purchase", 0, None), (None, "purchase", 0, None), (5002, "purchase", 0, None)}
+
+
+def test_labels_have_no_rank_limit(spark, tmp_path, monkeypatch):
+    full = retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, k, by, key: full(scored, 1, by, key))
+    texts = ["old cat dog here", "the old cat dog here " + "and so on " * 50, "concat dogs", "none", "", None, "a red fox ran off", "bored fox rang", "cat  dog"]
+    items = ["cat dog", "red fox ran", "none at all", "old cat dog here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in retrieval_queries.relevant(spark, str(tmp_path)).collect())
+    assert got == sorted((q, d) for q, i in enumerate(items) for d, t in enumerate(texts) if i is not None and t is not None and i in t)
