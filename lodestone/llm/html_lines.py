@@ -5,8 +5,9 @@ menu, header, footer, sidebar, notice, advert, form, script, style or comment se
 lines instead. Text lengths, without text of links, are summed over windows of ``WINDOW`` lines
 (the line-block distribution). A surge is where the sum rises from nothing, a dive where it falls
 back; between the two lies a passage. In a page with an ``article`` or ``main`` element the
-passages within it are the text; otherwise the heaviest passage and those that weigh a share of it
-and are not mainly links. At both ends of such a passage lines that are mainly links are cut off.
+passages within it are the text; otherwise the heaviest passage and all others that are not mainly
+links. In such a page a form, or an element dropped for its class or id, that holds nearly all of the
+text wraps the page and is not dropped. At both ends of such a passage lines that are mainly links are cut off.
 
 Within a block white space becomes one space and character references are decoded once; blocks, and
 the lines that ``br`` makes, are joined by one newline.
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Other passages are kept from this share of the heaviest one's weight on.
-SHARE = 0.2
+#: An element that holds this share of a page's text outside links, menus and the like wraps the page.
+WRAPPER_SHARE = 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _SELF_CLOSED = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 _DROPPED = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video map datalist".split())
+_NOT_TEXT = _DROPPED - {"form"} | {"a"}
 _ENDED_BY_BLOCK = frozenset("p li dt dd option td th tr".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset("nav navbar menu header masthead topbar footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar skip teaser disclaimer paywall cta".split())
@@ -48,7 +50,7 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _boilerplate(name: str, attributes: str, in_content: bool) -> bool:
+def _boilerplate(name: str, attributes: str, in_content: bool, named: bool = True) -> bool:
     if name in _DROPPED or name == "header" and not in_content:
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -59,12 +61,12 @@ def _boilerplate(name: str, attributes: str, in_content: bool) -> bool:
             return True
         if key == "role" and value.lower() in _ROLES:
             return True
-        if key in ("class", "id"):
+        if named and key in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
                 # the last part says what it is: "page-footer" is a footer, "footer-free" is not
                 if parts and (parts[-1] in _NAMES or parts[0].startswith(_STARTS) or parts[-1].endswith(_ENDS) or len(parts) > 1 and parts[0] in ("ad", "ads", "nav", "menu", "social", "share", "related", "cookie", "teaser")):
-                    return not (parts[-1] == "header" and in_content)
+                    return not (parts[-1] in ("header", "discussion") and in_content)
     return False
 
 
@@ -76,6 +78,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     in_link = False
     drop, depth = "", 0
     ends = content_places(html)
+    wraps: frozenset[int] | None = None
 
     def end_line(blank: int = 0) -> None:
         nonlocal links
@@ -129,7 +132,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if name in _BLOCKS:
             end_line()
         if not closing and name not in _SELF_CLOSED and _boilerplate(name, m.group(3) or "", content > 0) and not m.group(0).endswith("/>"):
-            # what holds the article is not dropped for its name
+            # what holds the article, or nearly all of a page without one, is not dropped for its name
+            if not ends and (name == "form" or name not in _DROPPED) and not _boilerplate("div", m.group(3) or "", True, named=False):
+                wraps = _wrappers(html) if wraps is None else wraps
+                if pos in wraps:
+                    continue
             if not ends or content or name == "article" or name in _DROPPED - {"form"} or not _holds(html, name, pos, ends):
                 end_line(WINDOW)
                 drop, depth = name, 1
@@ -176,6 +183,41 @@ def _holds(html: str, name: str, begin: int, ends: list[int]) -> bool:
     return True
 
 
+def _wrappers(html: str) -> frozenset[int]:
+    """Where the contents begin of the block elements that hold ``WRAPPER_SHARE`` of the text outside links and dropped elements."""
+    open_: list[tuple[str, int, int]] = []
+    count: dict[str, int] = {}
+    spans: list[tuple[int, int]] = []
+    size = pos = 0
+    aside = lambda: any(count.get(x) for x in _NOT_TEXT)
+
+    def close() -> None:
+        name, begin, before = open_.pop()
+        count[name] -= 1
+        spans.append((begin, size - before))
+
+    while pos < len(html):
+        m = _TAG.search(html, pos)
+        if not aside():
+            size += len(_SPACE.sub(" ", html[pos : m.start() if m else len(html)]).strip())
+        if not m:
+            break
+        pos, name = m.end(), (m.group(2) or "").lower()
+        if name in _RAW and not m.group(1):
+            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
+            pos = end.end() if end else len(html)
+        elif m.group(1) and count.get(name):
+            while open_[-1][0] != name:
+                close()
+            close()
+        elif not m.group(1) and (name in _BLOCKS or name in _NOT_TEXT) and name not in _SELF_CLOSED | _ENDED_BY_BLOCK and not m.group(0).endswith("/>"):
+            open_.append((name, pos, size))
+            count[name] = count.get(name, 0) + 1
+    while open_:
+        close()
+    return frozenset(begin for begin, held in spans if size and held >= WRAPPER_SHARE * size)
+
+
 def passages(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
     """(surge, dive) of the sums of text lengths over windows of lines."""
     weights = [len(text) for text, _, _ in lines]
@@ -211,7 +253,7 @@ def main_text(html: str | None) -> str:
             size, linked = sum(len(t) for t, _, _ in lines[a:b]), sum(k for _, k, _ in lines[a:b])
             found.append((a, b, size - linked, linked / size if size else 1.0))
     heaviest = max((w for _, _, w, _ in found), default=0)
-    kept = [(a, b) for a, b, w, linked in found if within or w == heaviest or w >= SHARE * heaviest and linked < 0.5]
+    kept = [(a, b) for a, b, w, linked in found if within or w == heaviest or linked < 0.5]
     return "\n".join(t for a, b in kept for t, _, _ in lines[a:b] if t)
 
 

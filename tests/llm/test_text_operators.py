@@ -30,6 +30,21 @@ def test_comments_and_teasers_in_article_elements():
     assert main_text(teasers).startswith("\n".join(["A paragraph of the real text that goes on."] * 5))
 
 
+def test_closing_paragraph_after_an_advert():
+    first = "".join(f"<p>Paragraph {i} of a long first part.</p>" for i in range(50))
+    page = f"<body><nav><a href=x>Menu</a></nav><div class=post>{first}<aside>Buy</aside><p>The end.</p></div><footer>f</footer>"
+    assert main_text(page).endswith("Paragraph 49 of a long first part.\nThe end.")
+
+
+def test_wrappers_of_the_whole_page_are_kept():
+    text = "<p>The first paragraph of the page.</p><div class=advert>Buy</div><p>The second one.</p>"
+    want = "The first paragraph of the page.\nThe second one."
+    for begin, end in (("<form action=x>", "</form>"), ("<div class='no-sidebar'>", "</div>"), ("<form id=f><div class='no-sidebar'>", "</div></form>")):
+        assert main_text(f"<body><nav><a href=x>Menu of the site</a></nav>{begin}{text}{end}<footer>f</footer></body>") == want
+    assert main_text(f"<body><div hidden>{text}</div><form><p>Your name</p></form></body>") == ""
+    assert main_text(f"<body><article>{text}<section id=discussion><p>We discuss.</p></section></article>") == want + "\nWe discuss."
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<div>") == main_text("<!-- never closed") == ""
     assert main_text("<p>a &am") == "a &am"
