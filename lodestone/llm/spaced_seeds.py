@@ -12,8 +12,9 @@ Built-in expressions only. The hashes of items are broadcast when they were coun
 joined by shuffle else; texts stay in place for that. Documents with hits are read again for the
 check; a passage that very many documents share gives one row for each of them and nothing more.
 
-Tokens are runs of letters and digits, lower-cased. An item of fewer tokens than the shorter mask
-spans cannot be hit. Defined cases: null and empty texts on either side have no tokens; a null
+Tokens are runs of letters and digits, lower-cased; a text written without spaces is thus few tokens.
+Items of fewer than ``WINDOW`` tokens have masks by their length, so that those of one token can be hit
+too. Defined cases: null and empty texts on either side have no tokens; a null
 ``doc_id`` or ``item_id`` is kept as it is; repeated documents and repeated items give the same rows
 once; of several diagonals of a pair the one with most agreeing tokens counts, then the earliest.
 An empty table gives an empty result. Other columns are ignored.
@@ -21,6 +22,8 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +31,24 @@ from lodestone.llm.common import cut, small_or_shuffled
 
 #: 1: the token at this offset counts; 0: it is ignored.
 MASKS = ("111010011", "1100101101")
+#: With these, whatever two of twelve neighbouring tokens differ, some mask meets the others alone. The SQL has only ``MASKS``.
+MORE_MASKS = ("1110111",)
 WINDOW, PERCENT = 12, 80
 
 
+def masks_of(size: int) -> tuple[str, ...]:
+    """Masks that meet every accepted passage of an item of so many tokens.
+
+    A short item is cut into two blocks more than it may have differing tokens; any two blocks make a mask.
+    """
+    if size >= WINDOW:
+        return MASKS + MORE_MASKS
+    differ = size * (100 - PERCENT) // 100
+    blocks = [range(size * k // (differ + 2), size * (k + 1) // (differ + 2)) for k in range(differ + 2)]
+    marks = ["".join("1" if i in a or i in b else "0" for i in range(size)).strip("0") for a, b in combinations(blocks, 2)]
+    return tuple(dict.fromkeys(marks)) if differ else ("1" * size,)
+
+
 def token_hashes(text: str) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -54,10 +72,13 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Diagonals (doc_id, text_hash, item, shift, seeds), and the items with their token hashes."""
     items = benchmark.select("item_id", token_hashes("text").alias("ih")).where(F.size("ih") > 0).distinct()
     items = cut(items.withColumn("item", F.xxhash64("item_id", "ih")))
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("ih"), F.lit(WINDOW))).distinct().collect())  # WINDOW at most
+    masks = [(size, m) for size in sizes for m in masks_of(size)]
+    at_most = F.least(F.size("ih"), F.lit(WINDOW))
     sides = []  # outer generators: for the others a filter on the whole expression would be inferred below them
     for side, h in ((items.select("item", "ih"), "ih"), (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes("text").alias("dh")), "dh")):
         rest = [c for c in side.columns if c != h]
-        both = side.select(*rest, F.array(*[seeds(h, m, k) for k, m in enumerate(MASKS)]).alias("_s")).select(*rest, F.explode_outer("_s").alias("_s"))
+        both = side.select(*rest, F.array(*[seeds(h, m, k) if h == "dh" else F.when(at_most == size, seeds(h, m, k)) for k, (size, m) in enumerate(masks)]).cast("array<array<bigint>>").alias("_s")).select(*rest, F.explode_outer("_s").alias("_s"))
         sides.append(both.select(*rest, F.posexplode_outer("_s").alias(f"{h}_at", "seed")).where("seed is not null"))
     known = small_or_shuffled(cut(sides[0].withColumnRenamed("seed", "_seed")))
     found = sides[1].join(known, F.col("seed") == F.col("_seed"))

@@ -1,8 +1,10 @@
 import random
 import re
 from html import escape
+from itertools import combinations
 
 from lodestone.llm.html_lines import extracted, lines_of, main_text, passages
+from lodestone.llm import spaced_seeds
 from lodestone.llm.spaced_seeds import MASKS, PERCENT, WINDOW, contaminated, decontaminated
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body class="has-sidebar"><div id="page"><header class="site-header"><h1>Site</h1></header>
@@ -126,3 +128,16 @@ def test_contamination_matches_brute_force(spark):
     bad = {g[0] for g in got}
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d[0] for d in docs if d[0] not in bad), key=str)
     assert contaminated(frame.limit(0), bench).count() == contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_masks_meet_every_accepted_passage(spark):
+    for size in range(1, WINDOW + 1):
+        for changed in combinations(range(size), size * (100 - PERCENT) // 100):
+            assert any(all(s + k not in changed for k, c in enumerate(m) if c == "1") for m in spaced_seeds.masks_of(size) for s in range(size - len(m) + 1)), (size, changed)
+    items = [(size, " ".join(f"w{size}x{i}" for i in range(size))) for size in range(1, 16)]
+    docs = []
+    for size, text in items:
+        for n, changed in enumerate(combinations(range(size), min(size, WINDOW) * (100 - PERCENT) // 100)):
+            docs.append((1000 * size + n, "before " + " ".join("zzz" if i in changed else w for i, w in enumerate(text.split())) + " after"))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, d // 1000) for d, _ in docs}
