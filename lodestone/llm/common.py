@@ -37,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, with a null of no type for none: extra columns with clashing names stay out."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * k for k in range(1, 2 + len(taken))) if x.lower() not in taken) for n in names]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, whose id and text are not among ``doc_id`` and ``text_hash`` of ``gone``."""
+    i, h = fresh(docs, "gone_id", "gone_hash")
+    pairs = cut(gone.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct())
+    return docs.join(small_or_shuffled(pairs), F.col("doc_id").eqNullSafe(F.col(i)) & F.xxhash64("text").eqNullSafe(F.col(h)), "left_anti")

@@ -3,25 +3,28 @@
 1. Every text becomes its set of n-word shingles, named by a 96-bit digest, with a signature of
    16 trees x 8 minhash codes. Rows with equal sets collapse into one node, so that copies cost
    nothing from here on.
-2. In each tree nodes with a common prefix of four of their eight codes form a region. A pair at
-   similarity 0.8 misses the four codes in all sixteen trees once in five thousand times. A region
-   of more than ``REGION`` nodes is dealt by hash into parts that share ``PIVOTS`` of its nodes;
-   then nodes outside its main tentative component are laid, block by block, against all of the
-   region, so that every pair of a region is compared or already joined. That costs (nodes outside)
-   x (nodes of the region) / ``REGION`` rows.
-3. Within a region whole signatures are compared, and nodes that agree in at least ``TENTATIVE``
-   of the codes (four standard deviations under the threshold) are joined to tentative components.
-4. Each tentative component gets the texts of its nodes once; there links are confirmed on the
+2. Each tree puts all nodes into the order of their eight codes; 16 sorted orders, cut into ranges.
+   Neighbours whose longest common prefix is ``DEPTH`` codes at least form a region. A region of
+   more than ``BLOCK`` nodes is cut, again and again, at its neighbours with the shortest common
+   prefix, so that a block reaches as deep into the tree as its region is dense.
+3. In a block, whole signatures are compared; nodes that agree in at least ``TENTATIVE`` of the codes
+   (four and a half standard deviations under 0.8) are joined to tentative components.
+4. Blocks of one region then meet: nodes outside the region's main tentative component are laid,
+   part by part, against all nodes of the region. So every pair of a region is compared or is
+   already joined, however large the region is; that costs (nodes outside) x (nodes of the region) /
+   ``BLOCK`` rows.
+5. Each tentative component gets the texts of its nodes once; there links are confirmed on the
    full sets, breadth first from every node, so that components under confirmed links are exact
-   within it. A large component is cut into blocks that share two pivots; nodes that stay outside
-   the block components of the pivots are then shown to all blocks. No pair is dropped.
+   within it. A large component is cut into blocks that share two of its nodes; then nodes outside
+   the main confirmed component are laid, part by part, against all nodes in the same way.
 
-Nothing is collected to the driver. Texts are shuffled only where they have a candidate.
+A pair at similarity 0.8 has no region in common once in five thousand times ((1 - 0.8^4)^16); no pair
+of a region is dropped. Nothing is collected to the driver, and a task holds two bounded blocks.
 
 Defined cases: null and empty texts, and texts of white space only, have no shingles and stand
 alone; a text of fewer than n words has one shingle, all its words; a null ``doc_id`` is never a
 component's name unless all its members are null; repeated rows are members like others. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,22 +33,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, small_or_shuffled
+from lodestone.llm.common import cut, fresh, small_or_shuffled, without
 from lodestone.llm.components import components
 from lodestone.llm.shingles import MinHash, set_id, shingle_set
 
 TREES, DEPTH = 16, 4
 CODES = TREES * 8
-REGION, PIVOTS = 1_024, 16
-BLOCK_NODES, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK = 1_024
+CONFIRM_NODES, CONFIRM_SHINGLES = 1_000, 1_000_000
 TENTATIVE = 0.64
 
+Groups = Callable[[pa.Table], list[tuple]]
+
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id, sig of every row."""
+    """doc_id, text_hash, n_shingles, set_id, sig of every row; ``sig`` holds two numbers of four codes for each tree."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,152 +64,288 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 names.append(set_id(s) if len(s) else None)
                 sigs.append(minhash(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "n_shingles", "set_id", "sig"],
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(task, f"doc_id {kind}, text_hash long, n_shingles long, set_id binary, sig binary")
+    return rows.mapInArrow(task, f"doc_id {kind}, text_hash long, n_shingles long, set_id binary, sig array<bigint>")
+
 
+def by_group(rows: DataFrame, handle: Groups, schema: str, arrow: pa.Schema) -> DataFrame:
+    """``handle`` on the rows of each group; the first column, a number, names the group. Groups are bounded and many share a task.
 
-def by_group(rows: DataFrame, keys: list[str], handle: Callable[[dict[str, list]], list[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """``handle`` on the columns of each group of rows; groups are bounded, and many share a task and its batches."""
-    names = rows.columns
+    Should two groups have one name they are handled as one, which compares more pairs and loses none.
+    """
+    name = rows.columns[0]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in names}
-        current, out = None, []
-        flush = lambda: out.extend(handle(held)) if held[names[0]] else None
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+        held: pa.Table | None = None
+        out: list[tuple] = []
+
+        def pack() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for row in zip(*columns, strict=True):
-                key = row[: len(keys)]
-                if key != current:
-                    flush()
-                    held, current = {c: [] for c in names}, key
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            ids = held.column(0).to_numpy()
+            edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            begin = 0
+            for end in edges:
+                if end - begin > 1:
+                    out.extend(handle(held.slice(begin, end - begin)))
                     if len(out) > 20_000:
                         yield pack()
-                        out.clear()
-                for c, v in zip(names, row, strict=True):
-                    held[c].append(v)
-        flush()
+                begin = int(end)
+            held = held.slice(begin)
+        if held is not None and len(held) > 1:
+            out.extend(handle(held))
         if out:
             yield pack()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    return rows.repartition(name).sortWithinPartitions(name).mapInArrow(task, schema)
 
 
-LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIR, LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())]), pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _tentative(group: dict[str, list]) -> list[tuple]:
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """The codes of signatures, a row each."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).view(np.uint16)
+
+
+def _close(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (sig == one).sum(axis=-1) >= TENTATIVE * sig.shape[-1]
+
+
+def _tentative(group: pa.Table) -> list[tuple]:
     """Links of a spanning forest of nodes whose signatures agree often enough."""
-    ids = group["set_id"]
-    if len(ids) == 1:
-        return []
-    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(len(ids), -1)
-    left, out = np.arange(len(ids)), []
+    keys, sig = group.column(1).to_numpy(), _codes(group.column(2))
+    if len(keys) == 2:
+        return [(int(keys[0]), int(keys[1]))] if _close(sig[0], sig[1]) else []
+    left, out = np.arange(len(keys)), []
     while len(left) > 1:
         wave, left = [left[0]], left[1:]
         while wave and len(left):
             i = wave.pop()
-            close = (sig[left] == sig[i]).mean(axis=1) >= TENTATIVE
-            out += [(ids[i], ids[j]) for j in left[close]]
+            close = _close(sig[left], sig[i])
+            out += [(int(keys[i]), int(keys[j])) for j in left[close]]
             wave += list(left[close])
             left = left[~close]
     return out
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The first member of each set's component under 100 * common >= percent * union; every pair is decided on full sets."""
+def _met(group: pa.Table) -> list[tuple]:
+    """Links between labels: every asking node against all others of its cell that bear another label."""
+    known, label = np.unique(group.column(1).to_numpy(), return_inverse=True)
+    asks, sig = group.column(2).to_numpy(zero_copy_only=False), _codes(group.column(3))
+    own, out = label.copy(), []
+    for i in np.flatnonzero(asks):
+        others = np.flatnonzero(label != label[i])
+        for j in others[_close(sig[others], sig[i])]:
+            if label[j] != label[i]:
+                out.append((int(known[own[i]]), int(known[own[j]])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def linked(sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> np.ndarray:
+    """The first member of each set's component under 100 * common >= percent * union, every pair decided on full sets; with ``asks``, pairs of an asking set."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
     marked = np.zeros(len(vocabulary), dtype=np.int32)
+
+    def near(i: int) -> np.ndarray:
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[codes], starts)
+        marked[own] = 0
+        return 100 * common >= percent * (sizes + sizes[i] - common)
+
+    if asks is not None:
+        root = np.arange(len(sets))
+        for i in np.flatnonzero(asks):
+            for old in np.unique(root[near(i)]):
+                root[root == old] = root[i]
+        return root
     root = np.full(len(sets), -1)
     for first in range(len(sets)):
         if root[first] >= 0:
             continue
         root[first], wave = first, [first]
         while wave and (root < 0).any():
-            i = wave.pop()
-            own = codes[starts[i] : starts[i] + sizes[i]]
-            marked[own] = 1
-            common = np.add.reduceat(marked[codes], starts)
-            marked[own] = 0
-            near = (root < 0) & (100 * common >= percent * (sizes + sizes[i] - common))
-            root[near] = first
-            wave += list(np.flatnonzero(near))
+            new = near(wave.pop()) & (root < 0)
+            root[new] = first
+            wave += list(np.flatnonzero(new))
     return root
 
 
-def _crossed(group: dict[str, list]) -> list[tuple]:
-    """Links between labels: every asking node against all others of its group that bear another label."""
-    names = {name: i for i, name in enumerate(dict.fromkeys(group["label"]))}
-    asks, known = np.array(group["asks"]), list(names)
-    if len(names) == 1 or not asks.any():
-        return []
-    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(len(asks), -1)
-    label = np.array([names[x] for x in group["label"]])
-    first, out = label.copy(), []
-    for i in np.flatnonzero(asks):
-        others = np.flatnonzero(label != label[i])
-        for j in others[(sig[others] == sig[i]).mean(axis=1) >= TENTATIVE]:
-            if label[j] != label[i]:
-                out.append((known[first[i]], known[first[j]]))
-                label[label == label[j]] = label[i]
+def cuts(lo: np.ndarray) -> list[tuple[int, int]]:
+    """A region, as the rest of its nodes' codes in order, cut into blocks of ``BLOCK`` nodes at most: at the shortest common prefixes of neighbours."""
+    out, todo = [], [(0, len(lo))]
+    apart = lo[1:].view(np.uint64) ^ lo[:-1].view(np.uint64)  # the larger, the shorter the common prefix
+    depth = np.zeros(len(apart), dtype=np.int8)
+    for k in range(4):
+        depth += apart < np.uint64(1) << np.uint64(16 * (k + 1))
+    while todo:
+        a, b = todo.pop()
+        if b - a <= BLOCK:
+            out.append((a, b))
+            continue
+        inner = depth[a : b - 1]
+        at = np.flatnonzero(inner == inner.min()) + a + 1
+        middle = int(at[np.abs(at - (a + b) // 2).argmin()])  # of equals the one nearest the middle
+        if not (b - a) // 8 <= middle - a <= 7 * (b - a) // 8:
+            middle = (a + b) // 2
+        todo += [(a, middle), (middle, b)]
     return out
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """region, set_id, n: members of the regions of all trees that hold two nodes at least, and the size of the region."""
-    width, used = 2 * DEPTH, 2 * CODES // TREES
-    members = nodes.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    members = members.select("set_id", F.xxhash64("tree", F.expr(f"substring(sig, tree * {used} + 1, {width})")).alias("region"))
-    counts = cut(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return members.join(small_or_shuffled(counts), "region").select("region", "set_id", "n")
+def blocks_of_orders(nodes: DataFrame) -> DataFrame:
+    """block, key, region: neighbours in the sorted order of some tree; ``region`` is null unless it may have further blocks."""
+    trees = [F.struct(F.lit(t).alias("tree"), F.col("sig")[2 * t].alias("hi"), F.col("sig")[2 * t + 1].alias("lo")) for t in range(TREES)]
+    order = nodes.select("key", F.inline(F.array(*trees))).repartitionByRange("tree", "hi", "lo", "key").sortWithinPartitions("tree", "hi", "lo", "key")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, dtype=np.int64)
+        key, tree, hi, lo = empty, empty, empty, empty
+        first, out = True, ([], [], [])
+
+        def emit(begin: int, end: int, whole: bool) -> None:
+            pieces = cuts(lo[begin:end]) if end - begin > 1 else [(0, end - begin)]
+            region = None if whole and len(pieces) == 1 else xxhash.xxh3_64_intdigest(np.array([tree[begin], hi[begin]]).tobytes()) - (1 << 63)
+            for a, b in pieces:
+                if region is None and b - a < 2:
+                    continue
+                members = key[begin + a : begin + b]
+                block = xxhash.xxh3_64_intdigest(np.sort(members).tobytes()) - (1 << 63)  # equal blocks of several trees become one
+                out[0].extend([block] * len(members))
+                out[1].extend(members.tolist())
+                out[2].extend([region] * len(members))
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["block", "key", "region"])
+                for c in out:
+                    c.clear()
+
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(4)]
+            key, tree, hi, lo = (np.concatenate([a, b.astype(np.int64)]) for a, b in zip((key, tree, hi, lo), new, strict=True))
+            edges = np.flatnonzero((hi[1:] != hi[:-1]) | (tree[1:] != tree[:-1])) + 1
+            begin = 0
+            if first and len(edges):
+                emit(0, int(edges[0]), False)  # a region may go on in the range before
+                first, begin = False, int(edges[0])
+            bounds = np.concatenate([[begin], edges[edges > begin]])
+            for at in np.flatnonzero(np.diff(bounds) > 1):
+                emit(int(bounds[at]), int(bounds[at + 1]), True)
+            begin = int(bounds[-1])
+            if len(key) - begin > 16 * BLOCK:  # a very large region goes on block by block
+                emit(begin, len(key), False)
+                begin, first = len(key), True
+            key, tree, hi, lo = key[begin:], tree[begin:], hi[begin:], lo[begin:]
+            yield from pack()
+        if len(key):
+            emit(0, len(key), False)
+        yield from pack()
+
+    return order.select("key", "tree", "hi", "lo").mapInArrow(task, "block long, key long, region long").distinct()
+
+
+def cells(asking: DataFrame, asked: DataFrame, size: int, *columns: str) -> DataFrame:
+    """group, columns..., asks: parts of asking nodes beside parts of all nodes of the same ``of``, parts of about the weight ``size``.
+
+    Both sides have ``of``, ``key``, ``n`` (weight of the nodes of this ``of``) and ``out`` (of the asking ones among them).
+    """
+    parts = lambda count: F.ceil(F.col(count) / size).cast("long")
+    own = lambda count: F.pmod(F.xxhash64("key"), parts(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), parts(count) - 1))
+    left = asking.select("of", own("out").alias("i"), every("n").alias("j"), *columns, F.lit(True).alias("asks"))
+    right = asked.select("of", every("out").alias("i"), own("n").alias("j"), *columns, F.lit(False).alias("asks"))
+    return left.union(right).select(F.xxhash64("of", "i", "j").alias("group"), *columns, "asks")
+
+
+def outside_main(members: DataFrame) -> DataFrame:
+    """of, main, n, out: groups of more than one label and their weight; ``main`` is the heaviest label, ``out`` the weight of the others."""
+    shares = members.groupBy("of", "label").agg(F.sum("weight").alias("k"))
+    sizes = shares.groupBy("of").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
+    return cut(sizes.select(F.col("of").alias("of_"), F.col("top.label").alias("main"), "n", (F.col("n") - F.col("top.k")).alias("out")).where("out > 0"))
 
 
 def tentative_components(nodes: DataFrame) -> DataFrame:
-    """node, root of all nodes that are joined to another by signatures that agree often enough, in some region."""
-    sigs = nodes.select("set_id", "sig")
-    placed = cut(regions(nodes))
-    large = placed.where(F.col("n") > REGION)
-    parts = F.ceil(F.col("n") / REGION).cast("long")
-    whole = placed.select("region", F.pmod(F.xxhash64("set_id"), parts).alias("part"), "set_id")
-    pivots = large.groupBy("region", "n", F.pmod(F.xxhash64("set_id", F.lit(1)), F.lit(PIVOTS))).agg(F.min("set_id").alias("set_id"))
-    shown = pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "set_id")
-    grouped = whole.union(shown).select(F.xxhash64("region", "part").alias("group"), "set_id").distinct()
-    grouped = grouped.join(sigs, "set_id").select("group", "set_id", "sig")
-    joined = cut(components(by_group(grouped, ["group"], _tentative, "a binary, b binary", LINK)))
-    if large.isEmpty():
+    """node, root (both keys) of all nodes joined to another one by signatures that agree often enough, in some region."""
+    placed = cut(blocks_of_orders(nodes))
+    sigs = nodes.select(F.col("key").alias("key_"), "sig")
+    in_blocks = placed.select("block", "key").distinct().join(sigs, F.col("key") == F.col("key_")).select("block", "key", "sig")
+    joined = cut(components(by_group(in_blocks, _tentative, "a long, b long", PAIR)))
+    shared = placed.where("region is not null")
+    several = cut(shared.groupBy("region").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select(F.col("region").alias("of_")))
+    if several.isEmpty():
         return joined
-
-    # what the pivots did not bring together: nodes outside a region's main component against all of the region
-    label = F.coalesce("root", "set_id").alias("label")
-    labelled = cut(large.join(joined, F.col("node") == F.col("set_id"), "left").select("region", "set_id", "n", label))
-    shares = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("_k"))
-    mains = shares.groupBy("region").agg(F.max(F.struct("_k", "label")).alias("_m"), F.sum("_k").alias("_all"))
-    mains = cut(mains.select("region", F.col("_m.label").alias("main"), (F.col("_all") - F.col("_m._k")).alias("out")).where("out > 0"))
+    members = shared.join(small_or_shuffled(several), F.col("region") == F.col("of_")).select(F.col("region").alias("of"), "key").distinct()
+    members = cut(members.join(joined, F.col("key") == F.col("node"), "left").select("of", "key", F.coalesce("root", "key").alias("label")))
+    mains = outside_main(members.withColumn("weight", F.lit(1)))
     if mains.isEmpty():
         return joined
-    rest = labelled.join(small_or_shuffled(mains), "region")
-    asking = F.ceil(F.col("out") / REGION).cast("long")
-    own = lambda count: F.pmod(F.xxhash64("set_id", F.lit(2)), count)
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-    asks = rest.where("label <> main").select("region", own(asking).alias("i"), every(parts).alias("j"), "set_id", "label", F.lit(True).alias("asks"))
-    asked = rest.select("region", every(asking).alias("i"), own(parts).alias("j"), "set_id", "label", F.lit(False).alias("asks"))
-    crossed = asks.union(asked).select(F.xxhash64("region", "i", "j").alias("group"), "set_id", "label", "asks")
-    crossed = crossed.join(sigs, "set_id").select("group", "label", "asks", "sig")
-    more = cut(components(by_group(crossed, ["group"], _crossed, "a binary, b binary", LINK)).select(F.col("node").alias("_node"), F.col("root").alias("_root")))
-    alone = more.join(joined, F.col("_node") == F.col("node"), "left_anti").select(F.col("_node").alias("node"), F.col("_node").alias("root"))
-    return joined.union(alone).join(more, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
-
-
-def _row_key(prefix: str = "") -> Column:
+    rest = members.join(small_or_shuffled(mains), F.col("of") == F.col("of_"))
+    crossed = cells(rest.where("label <> main"), rest, BLOCK, "key", "label")
+    crossed = crossed.join(sigs, F.col("key") == F.col("key_")).select("group", "label", "asks", "sig")
+    more = cut(components(by_group(crossed, _met, "a long, b long", PAIR)).select(F.col("node").alias("node_"), F.col("root").alias("root_")))
+    alone = more.join(joined, F.col("node_") == F.col("node"), "left_anti").select(F.col("node_").alias("node"), F.col("node_").alias("root"))
+    return joined.union(alone).join(more, F.col("root") == F.col("node_"), "left").select("node", F.coalesce("root_", "root").alias("root"))
+
+
+def _row_key() -> Column:
     """The member that stands for a group: the least doc_id, nulls last, then the least text hash."""
-    return F.struct(F.col(f"{prefix}doc_id").isNull().alias("none"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}text_hash").alias("text_hash"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """set_id, component of the nodes that have a confirmed link (and of some that have none, by themselves)."""
+    tentative = tentative_components(nodes).join(nodes.drop("sig"), F.col("node") == F.col("key"))
+    tentative = cut(tentative.select("root", "key", "set_id", "n_shingles", "row", "copies"))
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * CONFIRM_NODES / CONFIRM_SHINGLES)).cast("long")  # a long text counts for several nodes
+    blocks = F.ceil(F.sum(weight) / CONFIRM_NODES).cast("long")
+    # only the few components that are too large for a task meet this table; the rest need no join by root
+    large = tentative.groupBy("root").agg(blocks.alias("blocks"), F.max(F.struct("copies", "key"))["key"].alias("pivot"), F.min("key").alias("pivot2")).where("blocks > 1")
+    large = cut(large.withColumnRenamed("root", "root_"))
+    at = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long")))
+    at = at.when(F.col("key").isin(F.col("pivot"), F.col("pivot2")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    placed = cut(tentative.join(small_or_shuffled(large), F.col("root") == F.col("root_"), "left").withColumn("at", at).drop("root_", "pivot", "pivot2", "copies"))
+
+    pointer = placed.select("root", "key", "set_id", "at", F.col("row.doc_id").alias("id_"), F.col("row.text_hash").alias("hash_"))
+    with_text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = with_text.join(small_or_shuffled(pointer), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
+
+    def decide(group: pa.Table, asks: bool) -> list[tuple]:
+        rows: dict[bytes, tuple] = {}
+        for name, text, asking in zip(group.column(1).to_pylist(), group.column(2), group.column(3).to_pylist() if asks else [False] * len(group), strict=True):
+            if name not in rows or asking:  # repeated rows once
+                rows[name] = (text, asking)
+        ids = list(rows)
+        root = linked([shingle_set(t.as_py(), n) for t, _ in rows.values()], percent, np.array([a for _, a in rows.values()]) if asks else None)
+        return [(ids[r], s) for r, s in zip(root, ids, strict=True) if ids[r] != s]
+
+    spread = texts.select("root", F.explode("at").alias("at"), "set_id", "text").select(F.xxhash64("root", "at").alias("group"), "set_id", "text")
+    links = cut(by_group(spread, lambda g: decide(g, False), "a binary, b binary", LINK))
+    if large.isEmpty():
+        return links.select(F.col("b").alias("set_id"), F.col("a").alias("component")).union(links.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct())
+    first = components(links).withColumnRenamed("root", "label")
+    members = placed.where("blocks > 1").select(F.col("root").alias("of"), "key", "set_id", weight.alias("weight"))
+    members = cut(members.join(first, F.col("set_id") == F.col("node"), "left").select("of", "key", "set_id", "weight", F.coalesce("label", "set_id").alias("label")))
+    mains = outside_main(members)
+    if not mains.isEmpty():
+        rest = members.join(small_or_shuffled(mains), F.col("of") == F.col("of_"))
+        crossed = cells(rest.where("label <> main"), rest, CONFIRM_NODES, "set_id").withColumnRenamed("set_id", "set_")
+        bodies = texts.where(F.col("at").isNotNull()).select("set_id", "text").join(small_or_shuffled(cut(crossed.select(F.col("set_").alias("wanted")).distinct())), F.col("set_id") == F.col("wanted"), "left_semi")
+        crossed = crossed.join(bodies, F.col("set_") == F.col("set_id")).select("group", "set_id", "text", "asks")
+        links = links.union(cut(by_group(crossed, lambda g: decide(g, True), "a binary, b binary", LINK)))
+    return components(links).select(F.col("node").alias("set_id"), F.col("root").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -212,78 +354,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     ``text_hash`` is xxhash64 of the text; ``keeper`` marks the row (or rows equal to it) that stands for its component.
     """
     signed = cut(signatures(docs, n))
-    rows = signed.where("set_id is not null")
-    nodes = cut(rows.groupBy("set_id", "n_shingles", "sig").agg(F.min(_row_key()).alias("row"), F.count(F.lit(1)).alias("copies")))
-
-    tentative = cut(tentative_components(nodes).join(nodes.drop("sig"), F.col("node") == F.col("set_id")).select("root", "set_id", "n_shingles", "row", "copies"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
-    wholes = tentative.groupBy("root").agg(blocks.alias("blocks"), F.max(F.struct("copies", "set_id"))["set_id"].alias("pivot"), F.min("set_id").alias("pivot2"))
-    placed = tentative.join(wholes, "root")
-    is_pivot = (F.col("set_id") == F.col("pivot")) | (F.col("set_id") == F.col("pivot2"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    own = F.array(F.pmod(F.xxhash64("set_id"), F.col("blocks")))
-    placed = cut(placed.withColumn("pivotal", is_pivot & (F.col("blocks") > 1)).withColumn("at", F.when(F.col("pivotal"), every).otherwise(own)))
-
-    pointer = placed.select("root", "set_id", "at", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
-    with_text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    found = with_text.join(small_or_shuffled(pointer), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    texts = found.select("root", "set_id", "at", "text")
-
-    def confirm(group: dict[str, list]) -> list[tuple]:
-        at = dict(zip(group["set_id"], range(len(group["set_id"])), strict=True))  # repeated rows once
-        ids = list(at)
-        root = linked([shingle_set(group["text"][i], n) for i in at.values()], percent)
-        return [(ids[r], s) for r, s in zip(root, ids, strict=True)]
-
-    spread = texts.select("root", F.explode("at").alias("block"), "set_id", "text")
-    links = cut(by_group(spread, ["root", "block"], confirm, "a binary, b binary", LINK))
-    of = cut(_across_blocks(links, placed, texts, confirm)) if not placed.where("blocks > 1").isEmpty() else links.select(F.col("b").alias("set_id"), F.col("a").alias("component"))
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(_row_key()).alias("row"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(sets.withColumn("key", F.xxhash64("set_id")))  # a short name; should two sets share it, they are compared together
+    of = confirmed(docs, nodes, n, percent)
 
     # nodes that stand for more than their own row, and the row that stands for them
-    joined = nodes.select("set_id", "row", "copies").join(of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    best = joined.groupBy("component").agg(F.min("row").alias("best"), F.sum("copies").alias("_members"))
-    verdict = joined.join(best.where("_members > 1"), "component").select(F.col("set_id").alias("_set"), "best")
-    out = signed.drop("sig").join(small_or_shuffled(cut(verdict)), F.col("set_id") == F.col("_set"), "left")
-    return out.select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
-        (F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))).alias("keeper"),
-    )
-
-
-def _across_blocks(links: DataFrame, placed: DataFrame, texts: DataFrame, confirm) -> DataFrame:
-    """set_id, component where some tentative components were cut into blocks."""
-    first = components(links).withColumnRenamed("root", "component")
-    state = cut(placed.select("root", "set_id", "blocks").join(first, F.col("set_id") == F.col("node"), "left").select("root", "set_id", "blocks", F.coalesce("component", "set_id").alias("component")))
-    sizes = state.where("blocks > 1").groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("root").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    outside = cut(state.where("blocks > 1").join(main, "root").where("component <> main").select("root", "set_id", "blocks"))
-    if outside.isEmpty():
-        return state.select("set_id", "component")
-    shown = outside.select(F.col("root").alias("_r"), F.col("set_id").alias("_s"), F.col("blocks").alias("_b"))
-    again = texts.join(small_or_shuffled(shown), (F.col("root") == F.col("_r")) & (F.col("set_id") == F.col("_s")))
-    again = again.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("block"), "set_id", "text")
-    roots = small_or_shuffled(shown.select("_r").distinct())
-    inside = texts.join(roots, F.col("root") == F.col("_r"), "left_semi").select("root", F.explode("at").alias("block"), "set_id", "text")
-    more = by_group(again.union(inside), ["root", "block"], confirm, "a binary, b binary", LINK)
-    last = components(links.union(more)).withColumnRenamed("root", "component")
-    return state.select("set_id").join(last, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
+    joined = nodes.select("set_id", "row", "copies").join(of.withColumnRenamed("set_id", "of_set"), F.col("set_id") == F.col("of_set"), "left")
+    joined = cut(joined.where("copies > 1 or component is not null").select("set_id", "row", "copies", F.coalesce("component", "set_id").alias("component")))
+    best = joined.groupBy(F.col("component").alias("component_")).agg(F.min("row").alias("best"))
+    verdict = cut(joined.join(best, F.col("component") == F.col("component_")).select(F.col("set_id").alias("set_"), "best"))
+    out = signed.drop("sig").join(small_or_shuffled(verdict), F.col("set_id") == F.col("set_"), "left")
+    keeper = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), keeper.alias("keeper"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, whole, with their columns."""
     verdict = cut(near_duplicates(docs, n, percent))
-    gone = verdict.where("not keeper").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    kept = hashed.join(small_or_shuffled(cut(gone)), same, "left_anti")
-    repeated = cut(verdict.where("keeper and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1"))
-    if not repeated.isEmpty():  # rows that repeat both id and text
-        once = kept.join(small_or_shuffled(repeated), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-        kept = kept.join(small_or_shuffled(repeated), same, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    kept = without(docs, verdict.where("not keeper"))
+    repeated = cut(verdict.where("keeper and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1"))
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat both id and text: one of them, whichever comes first
+    h, i, r = fresh(docs, "text_hash", "id", "repeated")
+    marks = repeated.select(F.col("doc_id").alias(i), F.col("text_hash").alias(r))
+    hashed = kept.withColumn(h, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(r))
+    once = hashed.join(small_or_shuffled(marks), same, "left_semi").dropDuplicates(["doc_id", h])
+    return hashed.join(small_or_shuffled(marks), same, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -49,17 +49,17 @@ def set_id(shingles: np.ndarray) -> bytes:
 
 
 class MinHash:
-    """Signatures of ``size`` 16-bit minhash codes."""
+    """Signatures of ``size`` 16-bit minhash codes, four to a 64-bit number, the first in its highest bits."""
 
     def __init__(self, size: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.xor = rng.integers(0, 1 << 32, size, dtype=np.uint32)[:, None]
         self.times = (rng.integers(0, 1 << 32, size, dtype=np.uint32) | np.uint32(1))[:, None]
 
-    def __call__(self, shingles: np.ndarray) -> bytes:
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
         low = np.full(len(self.xor), 0xFFFFFFFF, dtype=np.uint32)
         short = ((shingles * _MIX) >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(short), 4096):  # long texts in pieces, so that memory stays bounded
             np.minimum(low, ((short[at : at + 4096] ^ self.xor) * self.times).min(axis=1), out=low)
-        mixed = low.astype(np.uint64) * _MIX
-        return (mixed >> np.uint64(48)).astype(np.uint16).tobytes()
+        codes = (low.astype(np.uint64) * _MIX) >> np.uint64(48)
+        return codes.astype(">u2").view(">i8").astype(np.int64)

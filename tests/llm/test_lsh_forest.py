@@ -72,8 +72,8 @@ def test_components_match_every_pair(spark):
 
 
 def test_large_regions_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "REGION", 8)
-    monkeypatch.setattr(lsh_forest, "BLOCK_NODES", 10)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
+    monkeypatch.setattr(lsh_forest, "CONFIRM_NODES", 10)
     rows = corpus(2, 120)
     want, _ = brute(rows, 4)
     got = near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect()
@@ -81,7 +81,7 @@ def test_large_regions_and_blocks(spark, monkeypatch):
 
 
 def test_large_region_of_a_template_family(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     template, rows = [word() for _ in range(200)], []
