@@ -15,8 +15,8 @@
    ``BLOCK`` rows.
 5. Each tentative component gets the texts of its nodes once; there links are confirmed on the
    full sets, breadth first from every node, so that components under confirmed links are exact
-   within it. A large component is cut into blocks that share two of its nodes; then nodes outside
-   the main confirmed component are laid, part by part, against all nodes in the same way.
+   within it. A large component is cut into blocks that share one of its nodes; then nodes not
+   joined to that one are laid, part by part, against all nodes in the same way.
 
 A pair at similarity 0.8 has no region in common once in five thousand times ((1 - 0.8^4)^16); no pair
 of a region is dropped. Nothing is collected to the driver, and a task holds two bounded blocks.
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, fresh, small_or_shuffled, without
+from lodestone.llm.common import cut, fresh, n_rows, small_or_shuffled, without
 from lodestone.llm.components import components
 from lodestone.llm.shingles import MinHash, set_id, shingle_set
 
@@ -122,17 +122,17 @@ def _close(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _tentative(group: pa.Table) -> list[tuple]:
-    """Links of a spanning forest of nodes whose signatures agree often enough."""
+    """(node, least node of its component) for nodes whose signatures agree often enough."""
     keys, sig = group.column(1).to_numpy(), _codes(group.column(2))
     if len(keys) == 2:
-        return [(int(keys[0]), int(keys[1]))] if _close(sig[0], sig[1]) else []
-    left, out = np.arange(len(keys)), []
+        return [(int(keys.max()), int(keys.min()))] if _close(sig[0], sig[1]) else []
+    order = np.argsort(keys)
+    keys, sig, left, out = keys[order], sig[order], np.arange(len(keys)), []
     while len(left) > 1:
-        wave, left = [left[0]], left[1:]
+        first, wave, left = int(keys[left[0]]), [left[0]], left[1:]
         while wave and len(left):
-            i = wave.pop()
-            close = _close(sig[left], sig[i])
-            out += [(int(keys[i]), int(keys[j])) for j in left[close]]
+            close = _close(sig[left], sig[wave.pop()])
+            out += [(int(keys[j]), first) for j in left[close]]
             wave += list(left[close])
             left = left[~close]
     return out
@@ -152,8 +152,8 @@ def _met(group: pa.Table) -> list[tuple]:
     return out
 
 
-def linked(sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> np.ndarray:
-    """The first member of each set's component under 100 * common >= percent * union, every pair decided on full sets; with ``asks``, pairs of an asking set."""
+def _neighbours(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarray]:
+    """Which sets have 100 * common >= percent * union with the set of this number, decided on full sets."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -166,13 +166,12 @@ def linked(sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None)
         marked[own] = 0
         return 100 * common >= percent * (sizes + sizes[i] - common)
 
-    if asks is not None:
-        root = np.arange(len(sets))
-        for i in np.flatnonzero(asks):
-            for old in np.unique(root[near(i)]):
-                root[root == old] = root[i]
-        return root
-    root = np.full(len(sets), -1)
+    return near
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The first member of each set's component under 100 * common >= percent * union."""
+    near, root = _neighbours(sets, percent), np.full(len(sets), -1)
     for first in range(len(sets)):
         if root[first] >= 0:
             continue
@@ -184,6 +183,32 @@ def linked(sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None)
     return root
 
 
+def confirm(group: pa.Table, n: int, percent: int) -> list[tuple]:
+    """(first member, member) of each component among the nodes of a group; a shared node, if there is one, comes first."""
+    rows = {name: (not shared, text) for name, text, shared in zip(group.column(1).to_pylist(), group.column(2), group.column(3).to_pylist(), strict=True)}  # repeated rows once
+    ids = sorted(rows, key=lambda name: (rows[name][0], name))
+    root = linked([shingle_set(rows[i][1].as_py(), n) for i in ids], percent)
+    return [(ids[r], name) for r, name in zip(root, ids, strict=True)]
+
+
+def confirm_met(group: pa.Table, n: int, percent: int) -> list[tuple]:
+    """Links between labels: every asking node against all others of its cell that bear another label."""
+    rows: dict[bytes, tuple] = {}
+    for name, label, text, asks in zip(group.column(1).to_pylist(), group.column(2).to_pylist(), group.column(3), group.column(4).to_pylist(), strict=True):
+        if name not in rows or asks:
+            rows[name] = (label, text, asks)
+    known, label = np.unique([x for x, _, _ in rows.values()], return_inverse=True)
+    if len(known) == 1 or not any(x for _, _, x in rows.values()):
+        return []
+    near, own, out = _neighbours([shingle_set(t.as_py(), n) for _, t, _ in rows.values()], percent), label.copy(), []
+    for i in np.flatnonzero([x for _, _, x in rows.values()]):
+        for j in np.flatnonzero(near(i)):
+            if label[j] != label[i]:
+                out.append((bytes(known[own[i]]), bytes(known[own[j]])))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def cuts(lo: np.ndarray) -> list[tuple[int, int]]:
     """A region, as the rest of its nodes' codes in order, cut into blocks of ``BLOCK`` nodes at most: at the shortest common prefixes of neighbours."""
     out, todo = [], [(0, len(lo))]
@@ -285,12 +310,12 @@ def tentative_components(nodes: DataFrame) -> DataFrame:
     joined = cut(components(by_group(in_blocks, _tentative, "a long, b long", PAIR)))
     shared = placed.where("region is not null")
     several = cut(shared.groupBy("region").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select(F.col("region").alias("of_")))
-    if several.isEmpty():
+    if not n_rows(several):
         return joined
     members = shared.join(small_or_shuffled(several), F.col("region") == F.col("of_")).select(F.col("region").alias("of"), "key").distinct()
     members = cut(members.join(joined, F.col("key") == F.col("node"), "left").select("of", "key", F.coalesce("root", "key").alias("label")))
     mains = outside_main(members.withColumn("weight", F.lit(1)))
-    if mains.isEmpty():
+    if not n_rows(mains):
         return joined
     rest = members.join(small_or_shuffled(mains), F.col("of") == F.col("of_"))
     crossed = cells(rest.where("label <> main"), rest, BLOCK, "key", "label")
@@ -306,46 +331,41 @@ def _row_key() -> Column:
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """set_id, component of the nodes that have a confirmed link (and of some that have none, by themselves)."""
+    """set_id, component of the nodes of tentative components, after their links are confirmed."""
     tentative = tentative_components(nodes).join(nodes.drop("sig"), F.col("node") == F.col("key"))
     tentative = cut(tentative.select("root", "key", "set_id", "n_shingles", "row", "copies"))
     weight = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * CONFIRM_NODES / CONFIRM_SHINGLES)).cast("long")  # a long text counts for several nodes
     blocks = F.ceil(F.sum(weight) / CONFIRM_NODES).cast("long")
     # only the few components that are too large for a task meet this table; the rest need no join by root
-    large = tentative.groupBy("root").agg(blocks.alias("blocks"), F.max(F.struct("copies", "key"))["key"].alias("pivot"), F.min("key").alias("pivot2")).where("blocks > 1")
+    large = tentative.groupBy("root").agg(blocks.alias("blocks"), F.max(F.struct("copies", "key"))["key"].alias("shared")).where("blocks > 1")
     large = cut(large.withColumnRenamed("root", "root_"))
-    at = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long")))
-    at = at.when(F.col("key").isin(F.col("pivot"), F.col("pivot2")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
-    placed = cut(tentative.join(small_or_shuffled(large), F.col("root") == F.col("root_"), "left").withColumn("at", at).drop("root_", "pivot", "pivot2", "copies"))
+    is_shared = F.coalesce(F.col("key") == F.col("shared"), F.lit(False))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    at = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(is_shared, every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    placed = tentative.join(small_or_shuffled(large), F.col("root") == F.col("root_"), "left").withColumn("at", at).withColumn("shared", is_shared)
 
-    pointer = placed.select("root", "key", "set_id", "at", F.col("row.doc_id").alias("id_"), F.col("row.text_hash").alias("hash_"))
+    pointer = placed.select("root", "key", "set_id", "at", "shared", F.col("row.doc_id").alias("id_"), F.col("row.text_hash").alias("hash_"))
     with_text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = with_text.join(small_or_shuffled(pointer), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
-
-    def decide(group: pa.Table, asks: bool) -> list[tuple]:
-        rows: dict[bytes, tuple] = {}
-        for name, text, asking in zip(group.column(1).to_pylist(), group.column(2), group.column(3).to_pylist() if asks else [False] * len(group), strict=True):
-            if name not in rows or asking:  # repeated rows once
-                rows[name] = (text, asking)
-        ids = list(rows)
-        root = linked([shingle_set(t.as_py(), n) for t, _ in rows.values()], percent, np.array([a for _, a in rows.values()]) if asks else None)
-        return [(ids[r], s) for r, s in zip(root, ids, strict=True) if ids[r] != s]
-
-    spread = texts.select("root", F.explode("at").alias("at"), "set_id", "text").select(F.xxhash64("root", "at").alias("group"), "set_id", "text")
-    links = cut(by_group(spread, lambda g: decide(g, False), "a binary, b binary", LINK))
-    if large.isEmpty():
-        return links.select(F.col("b").alias("set_id"), F.col("a").alias("component")).union(links.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct())
-    first = components(links).withColumnRenamed("root", "label")
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
+    texts = with_text.join(small_or_shuffled(pointer, at_most=tentative), same)
+
+    spread = texts.select("root", F.explode("at").alias("at"), "set_id", "text", "shared").select(F.xxhash64("root", "at").alias("group"), "set_id", "text", "shared")
+    stars = cut(by_group(spread, lambda g: confirm(g, n, percent), "a binary, b binary", LINK).distinct())
+    whole = stars.select(F.col("b").alias("set_id"), F.col("a").alias("component"))
+    if not n_rows(large):
+        return whole
     members = placed.where("blocks > 1").select(F.col("root").alias("of"), "key", "set_id", weight.alias("weight"))
-    members = cut(members.join(first, F.col("set_id") == F.col("node"), "left").select("of", "key", "set_id", "weight", F.coalesce("label", "set_id").alias("label")))
+    members = cut(members.join(stars, F.col("set_id") == F.col("b"), "left").select("of", "key", "set_id", "weight", F.coalesce("a", "set_id").alias("label")))
     mains = outside_main(members)
-    if not mains.isEmpty():
-        rest = members.join(small_or_shuffled(mains), F.col("of") == F.col("of_"))
-        crossed = cells(rest.where("label <> main"), rest, CONFIRM_NODES, "set_id").withColumnRenamed("set_id", "set_")
-        bodies = texts.where(F.col("at").isNotNull()).select("set_id", "text").join(small_or_shuffled(cut(crossed.select(F.col("set_").alias("wanted")).distinct())), F.col("set_id") == F.col("wanted"), "left_semi")
-        crossed = crossed.join(bodies, F.col("set_") == F.col("set_id")).select("group", "set_id", "text", "asks")
-        links = links.union(cut(by_group(crossed, lambda g: decide(g, True), "a binary, b binary", LINK)))
-    return components(links).select(F.col("node").alias("set_id"), F.col("root").alias("component"))
+    if not n_rows(mains):
+        return whole
+    rest = members.join(small_or_shuffled(mains), F.col("of") == F.col("of_"))
+    crossed = cells(rest.where("label <> main"), rest, CONFIRM_NODES, "set_id", "label").withColumnRenamed("set_id", "set_")
+    wanted = rest.select(F.col("set_id").alias("wanted"))
+    bodies = texts.select("set_id", "text").join(small_or_shuffled(wanted, at_most=members), F.col("set_id") == F.col("wanted"), "left_semi")
+    crossed = crossed.join(bodies, F.col("set_") == F.col("set_id")).select("group", "set_id", "label", "text", "asks")
+    more = components(by_group(crossed, lambda g: confirm_met(g, n, percent), "a binary, b binary", LINK)).withColumnRenamed("root", "main")
+    return whole.join(more, F.col("component") == F.col("node"), "left").select("set_id", F.coalesce("main", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -360,7 +380,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # nodes that stand for more than their own row, and the row that stands for them
     joined = nodes.select("set_id", "row", "copies").join(of.withColumnRenamed("set_id", "of_set"), F.col("set_id") == F.col("of_set"), "left")
-    joined = cut(joined.where("copies > 1 or component is not null").select("set_id", "row", "copies", F.coalesce("component", "set_id").alias("component")))
+    joined = joined.where("copies > 1 or component is not null").select("set_id", "row", "copies", F.coalesce("component", "set_id").alias("component"))
     best = joined.groupBy(F.col("component").alias("component_")).agg(F.min("row").alias("best"))
     verdict = cut(joined.join(best, F.col("component") == F.col("component_")).select(F.col("set_id").alias("set_"), "best"))
     out = signed.drop("sig").join(small_or_shuffled(verdict), F.col("set_id") == F.col("set_"), "left")
@@ -374,7 +394,7 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     verdict = cut(near_duplicates(docs, n, percent))
     kept = without(docs, verdict.where("not keeper"))
     repeated = cut(verdict.where("keeper and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1"))
-    if repeated.isEmpty():
+    if not n_rows(repeated):
         return kept
     # rows that repeat both id and text: one of them, whichever comes first
     h, i, r = fresh(docs, "text_hash", "id", "repeated")

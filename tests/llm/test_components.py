@@ -1,9 +1,14 @@
 import random
 
+import pytest
+
+from lodestone.llm import components as module
 from lodestone.llm.components import components
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [module.FEW, 0])
+def test_components_match_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
     links += [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 640)] + [(7, 7)]
