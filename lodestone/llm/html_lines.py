@@ -1,20 +1,27 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block; what is known by its element, role or name to be a
-menu, header, footer, sidebar, notice, advert, form, script, style or comment section leaves empty
-lines instead. Text lengths, without text of links, are summed over windows of ``WINDOW`` lines
-(the line-block distribution). A surge is where the sum rises from nothing, a dive where it falls
-back; between the two lies a passage. In a page with an ``article`` or ``main`` element the
-passages within it are the text; otherwise the heaviest passage and all others that are not mainly
-links. In such a page a form, or an element dropped for its class or id, that holds nearly all of the
-text wraps the page and is not dropped. At both ends of such a passage lines that are mainly links are cut off.
+Markup is stripped to lines, one for each block; tags do no more than end lines and weigh them. The
+weight of a line is its length without text of links. What element, role or name call a menu,
+header, footer, sidebar, notice, advert, form, script, style or comment section weighs nothing and
+becomes one empty line, so that it does not part the text around it. In a page that has ``article`` or
+``main`` elements their lines weigh with their links, and lines outside only ``OUTSIDE`` of their
+length; ``WINDOW`` empty lines stand at the edges of these elements.
+
+Weights are summed over sliding windows of ``WINDOW`` lines, the line-block distribution. Where sums
+rise from nothing a passage begins, and where they fall back to nothing is its dive point. It surges
+if some sum reaches ``SURGE`` of the page's highest sum. The text is what stands in passages that surge; passages that
+never do are dropped. At both ends of a passage outside articles, lines that are mainly links are cut off.
+
+In a page without articles a form, or an element dropped for its class or id, that holds nearly all of the
+text wraps the page and is not dropped.
 
 Within a block white space becomes one space and character references are decoded once; blocks, and
 the lines that ``br`` makes, are joined by one newline.
 
 Defined cases: null and empty html give an empty text; a tag, comment or reference that the page
 breaks off in is dropped; elements that are never closed end with the page, but a paragraph or list
-item ends with the next block; pages of any length are read whole; repeated rows get equal results.
+item ends with the next block; passages of equal sums are kept or dropped alike; pages of any length and depth are
+read whole, in time that grows with their length; repeated rows get equal results.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -22,13 +29,17 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+#: A passage counts if its highest sum is this share of the page's highest; text outside articles weighs this share of its length.
+SURGE, OUTSIDE = 0.05, 0.02
 #: An element that holds this share of a page's text outside links, menus and the like wraps the page.
 WRAPPER_SHARE = 0.8
 
@@ -43,8 +54,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset("nav navbar menu header masthead topbar footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar skip teaser disclaimer paywall cta".split())
 _STARTS = ("comment", "advert", "adsby", "sidebar", "cookie", "newsletter", "footer", "navbar", "navigation", "sponsor", "breadcrumb", "disqus", "promo")
 _ENDS = ("nav", "menu", "sidebar", "footer", "comments", "advert", "banner")
-#: Of several articles those count that are at least this share of the longest; a page's articles count if they hold this share of the heaviest passage outside.
-ARTICLE_SHARE, CONTENT_SHARE = 0.5, 0.3
+#: Of several articles those count that are at least this share of the longest.
+ARTICLE_SHARE = 0.5
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -71,21 +82,25 @@ def _boilerplate(name: str, attributes: str, in_content: bool, named: bool = Tru
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, within article or main) of each line; dropped parts and container edges leave empty lines."""
+    """(text, characters in links, within article or main) of each line; dropped parts leave one empty line, edges of articles ``WINDOW``."""
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
     at = links = content = 0
     in_link = False
     drop, depth = "", 0
-    ends = content_places(html)
+    tree = elements(html)
+    ends = content_places(tree)
+    starts = frozenset(ends)
     wraps: frozenset[int] | None = None
+    closes: dict[int, int] = {}
 
     def end_line(blank: int = 0) -> None:
         nonlocal links
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         if text:
             out.append((text, min(links, len(text)), content > 0))
-        out.extend([("", 0, content > 0)] * blank)
+        if blank > 1 or blank and out and out[-1][0]:
+            out.extend([("", 0, content > 0)] * blank)
         held.clear()
         links = 0
 
@@ -119,8 +134,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 drop = ""
             if drop or closing:
                 continue
-        if name in ("article", "main") and (closing or content or m.start() in ends):
-            end_line(1)
+        if name in ("article", "main") and (closing or content or m.start() in starts):
+            end_line(WINDOW if not content or closing and content == 1 else 1)
             content = max(0, content - 1) if closing else content + (not _boilerplate(name, m.group(3) or "", True))
             if not closing and _boilerplate(name, m.group(3) or "", True):
                 drop, depth = name, 1
@@ -134,71 +149,44 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if not closing and name not in _SELF_CLOSED and _boilerplate(name, m.group(3) or "", content > 0) and not m.group(0).endswith("/>"):
             # what holds the article, or nearly all of a page without one, is not dropped for its name
             if not ends and (name == "form" or name not in _DROPPED) and not _boilerplate("div", m.group(3) or "", True, named=False):
-                wraps = _wrappers(html) if wraps is None else wraps
+                wraps = _wrappers(tree) if wraps is None else wraps
                 if pos in wraps:
                     continue
-            if not ends or content or name == "article" or name in _DROPPED - {"form"} or not _holds(html, name, pos, ends):
-                end_line(WINDOW)
+            if not ends or content or name == "article" or name in _DROPPED - {"form"} or not _holds(tree, closes, pos, ends):
+                end_line(1)
                 drop, depth = name, 1
     end_line()
     return out
 
 
-_CONTENT = re.compile(r"<(/?)(article|main)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-
-
-def content_places(html: str) -> list[int]:
-    """Where the elements begin that hold the page's text: the longest articles that are not comments or teasers, else ``main``."""
-    open_, spans = [], []
-    for m in _CONTENT.finditer(html):
-        name = m.group(2).lower()
-        if not m.group(1):
-            open_.append((name, m.start(), _boilerplate(name, m.group(3), True), len(open_)))
-        else:
-            while open_:
-                was = open_.pop()
-                spans.append((*was, m.end()))
-                if was[0] == name:
-                    break
-    spans += [(*was, len(html)) for was in open_]
-    for wanted in ("article", "main"):
-        outer = [(end - start, start) for name, start, bad, _, end in spans if name == wanted and not bad]
-        outer = [x for x in outer if not any(n == wanted and a < x[1] and x[1] < e for n, a, _, _, e in spans)]
-        if outer:
-            most = max(outer)[0]
-            return sorted(start for size, start in outer if size >= ARTICLE_SHARE * most)
-    return []
-
-
-def _holds(html: str, name: str, begin: int, ends: list[int]) -> bool:
-    """Whether the element that begins here holds one of these places."""
-    later = [e for e in ends if e >= begin]
-    if not later:
-        return False
-    depth = 1
-    for m in re.finditer(rf"<(/?){name}\b", html[begin : later[0]], re.I):
-        depth += -1 if m.group(1) else 1
-        if depth == 0:
-            return False
-    return True
+class Element(NamedTuple):
+    name: str
+    attributes: str
+    start: int
+    begin: int
+    end: int
+    size: int
+    #: Open elements of the same name around it.
+    within: int
 
 
-def _wrappers(html: str) -> frozenset[int]:
-    """Where the contents begin of the block elements that hold ``WRAPPER_SHARE`` of the text outside links and dropped elements."""
-    open_: list[tuple[str, int, int]] = []
+def elements(html: str) -> list[Element]:
+    """The block elements of a page with their places and the length of their text outside links and dropped elements, in one pass."""
+    open_: list[tuple[str, str, int, int, int, int]] = []
     count: dict[str, int] = {}
-    spans: list[tuple[int, int]] = []
-    size = pos = 0
-    aside = lambda: any(count.get(x) for x in _NOT_TEXT)
+    out: list[Element] = []
+    size = pos = aside = 0
 
-    def close() -> None:
-        name, begin, before = open_.pop()
+    def close(end: int) -> None:
+        nonlocal aside
+        name, attributes, start, begin, before, within = open_.pop()
         count[name] -= 1
-        spans.append((begin, size - before))
+        aside -= name in _NOT_TEXT
+        out.append(Element(name, attributes, start, begin, end, size - before, within))
 
     while pos < len(html):
         m = _TAG.search(html, pos)
-        if not aside():
+        if not aside:
             size += len(_SPACE.sub(" ", html[pos : m.start() if m else len(html)]).strip())
         if not m:
             break
@@ -208,53 +196,84 @@ def _wrappers(html: str) -> frozenset[int]:
             pos = end.end() if end else len(html)
         elif m.group(1) and count.get(name):
             while open_[-1][0] != name:
-                close()
-            close()
+                close(m.start())
+            close(m.start())
         elif not m.group(1) and (name in _BLOCKS or name in _NOT_TEXT) and name not in _SELF_CLOSED | _ENDED_BY_BLOCK and not m.group(0).endswith("/>"):
-            open_.append((name, pos, size))
+            open_.append((name, m.group(3) or "", m.start(), pos, size, count.get(name, 0)))
             count[name] = count.get(name, 0) + 1
+            aside += name in _NOT_TEXT
     while open_:
-        close()
-    return frozenset(begin for begin, held in spans if size and held >= WRAPPER_SHARE * size)
-
-
-def passages(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
-    """(surge, dive) of the sums of text lengths over windows of lines."""
-    weights = [len(text) for text, _, _ in lines]
-    out, begin, window = [], None, 0
-    for i, w in enumerate(weights):
-        window += w - (weights[i - WINDOW] if i >= WINDOW else 0)
-        if begin is None and w:
-            begin = i
-        elif begin is not None and window == 0:
-            out.append((begin, i - WINDOW + 1))
+        close(len(html))
+    return out
+
+
+def content_places(tree: list[Element]) -> list[int]:
+    """Where the elements begin that hold the page's text: the longest outermost articles that are not comments or teasers, else ``main``."""
+    for wanted in ("article", "main"):
+        outer = [(e.end - e.start, e.start) for e in tree if e.name == wanted and not e.within and not _boilerplate(wanted, e.attributes, True)]
+        if outer:
+            most = max(outer)[0]
+            return sorted(start for size, start in outer if size >= ARTICLE_SHARE * most)
+    return []
+
+
+def _holds(tree: list[Element], closes: dict[int, int], begin: int, ends: list[int]) -> bool:
+    """Whether the element whose contents begin here holds one of these places. ``closes``: filled with the ends of all elements."""
+    if not closes:
+        closes.update((e.begin, e.end) for e in tree)
+    at = bisect_left(ends, begin)
+    return at < len(ends) and ends[at] < closes.get(begin, begin)
+
+
+def _wrappers(tree: list[Element]) -> frozenset[int]:
+    """Where the contents begin of the block elements that hold ``WRAPPER_SHARE`` of the text outside links and dropped elements."""
+    whole = max((e.size for e in tree), default=0)
+    return frozenset(e.begin for e in tree if whole and e.size >= WRAPPER_SHARE * whole)
+
+
+def weights(lines: list[tuple[str, int, bool]]) -> list[float]:
+    """What each line adds to the sums of its windows."""
+    articles = any(inside for text, _, inside in lines if text)
+    return [len(text) if inside else (len(text) - links) * (OUTSIDE if articles else 1.0) for text, links, inside in lines]
+
+
+def passages(weight: list[float]) -> list[tuple[int, int]]:
+    """(begin, dive) of the passages that surge, by the sums of ``weight`` over windows of lines."""
+    found, highest, top = [], 0.0, 0.0
+    begin = last = None
+    for i, w in enumerate(weight):
+        if w > 0:
+            if begin is None:
+                begin, top = i, 0.0
+            last = i
+        elif begin is not None and i - last >= WINDOW:  # a window without weight
+            found.append((begin, last + 1, top))
             begin = None
+        if begin is not None:
+            top = max(top, sum(weight[max(0, i - WINDOW + 1) : i + 1]))
+            highest = max(highest, top)
     if begin is not None:
-        out.append((begin, len(weights)))
-    return out
+        found.append((begin, last + 1, top))
+    return [(a, b) for a, b, t in found if t >= SURGE * highest]
 
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    inside = sum(len(text) for text, _, inside in lines if inside)
-    outside = [("", 0, False) if line[2] else line for line in lines]
-    rival = max((sum(len(t) - k for t, k, _ in outside[a:b]) for a, b in passages(outside)), default=0)
-    within = inside > 0 and inside >= CONTENT_SHARE * rival
-    if within:
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    found = []
-    for a, b in passages(lines):
-        if not within:
-            while a < b and 2 * lines[a][1] > len(lines[a][0]) or a < b and not lines[a][0]:
-                a += 1
-            while b > a and (2 * lines[b - 1][1] > len(lines[b - 1][0]) or not lines[b - 1][0]):
-                b -= 1
-        if a < b:
-            size, linked = sum(len(t) for t, _, _ in lines[a:b]), sum(k for _, k, _ in lines[a:b])
-            found.append((a, b, size - linked, linked / size if size else 1.0))
-    heaviest = max((w for _, _, w, _ in found), default=0)
-    kept = [(a, b) for a, b, w, linked in found if within or w == heaviest or linked < 0.5]
-    return "\n".join(t for a, b in kept for t, _, _ in lines[a:b] if t)
+    kept = []
+    for a, b in passages(weights(lines)):
+        # links beside a passage belong to it in an article only
+        while a and lines[a - 1][0] and lines[a - 1][2]:
+            a -= 1
+        while b < len(lines) and lines[b][0] and lines[b][2]:
+            b += 1
+        while a < b and not lines[a][2] and 2 * lines[a][1] > len(lines[a][0]):
+            a += 1
+        while b > a and not lines[b - 1][2] and 2 * lines[b - 1][1] > len(lines[b - 1][0]):
+            b -= 1
+        size, linked = sum(len(t) for t, _, inside in lines[a:b] if not inside), sum(k for _, k, inside in lines[a:b] if not inside)
+        if any(inside for _, _, inside in lines[a:b]) or 2 * linked < size:
+            kept += [t for t, _, _ in lines[a:b] if t]
+    return "\n".join(kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

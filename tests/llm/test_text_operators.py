@@ -1,9 +1,11 @@
 import random
 import re
+import time
 from html import escape
 from itertools import combinations
 
-from lodestone.llm.html_lines import extracted, lines_of, main_text, passages
+from lodestone.llm.html_lines import SURGE, extracted, lines_of, main_text, passages
+from lodestone.llm.html_lines import WINDOW as WINDOW_LINES
 from lodestone.llm import spaced_seeds
 from lodestone.llm.spaced_seeds import MASKS, PERCENT, WINDOW, contaminated, decontaminated
 
@@ -58,9 +60,45 @@ def test_odd_pages():
 
 
 def test_surges_and_dives():
-    lines = [(t, 0, False) for t in ["menu", "", "", "", "a" * 50, "", "b" * 9, "", "", "", "", "foot"]]
-    assert passages(lines) == [(0, 1), (4, 7), (11, 12)]
-    assert [t for t, _, _ in lines_of("<p>a<b>b</b></p> c <nav>x</nav>d")] == ["ab", "c", "", "", "", "d"]
+    lines = [len(t) for t in ["men", "", "", "", "a" * 60, "", "b" * 9, "", "", "", "", "fo"]]
+    assert passages(lines) == [(4, 7)] and passages(lines[:4]) == [(0, 1)] and passages([]) == passages([0, 0]) == []
+    assert [t for t, _, _ in lines_of("<p>a<b>b</b></p> c <nav>x</nav><aside>y</aside>d")] == ["ab", "c", "", "d"]
+
+
+def test_passages_match_brute_force():
+    """Every window summed by itself: lines under a window with weight belong together if such windows touch."""
+    rng = random.Random(3)
+    for _ in range(400):
+        w = [rng.choice([0, 0, 0, 0, 1, 2, 30, 100]) for _ in range(rng.randint(0, 40))]
+        sums = {i: sum(w[max(i, 0) : i + WINDOW_LINES]) for i in range(-WINDOW_LINES + 1, len(w))}
+        most, want, i = max(sums.values(), default=0), [], -WINDOW_LINES + 1
+        while i < len(w):
+            j = i
+            while sums.get(j, 0):
+                j += 1
+            if j > i:
+                inside = [k for k in range(max(i, 0), min(j + WINDOW_LINES - 1, len(w))) if w[k]]
+                if max(sums[k] for k in range(i, j)) >= SURGE * most:
+                    want.append((inside[0], inside[-1] + 1))
+            i = j + 1
+        assert passages(w) == want, w
+
+
+def test_the_distribution_decides_without_articles():
+    text = "".join(f"<p>{'The story goes on and on in this paragraph. ' * 6}</p>" for _ in range(5))
+    links = "".join(f"<li><a href=/{i}>Some linked headline</a></li>" for i in range(6))
+    page = f"<body><div>Mini site</div><ul>{links}</ul><div><h1>The title</h1>{text}<p>Last words.</p></div><ul>{links}</ul><div>Imprint</div></body>"
+    got = main_text(page)
+    assert got.startswith("The title\nThe story") and got.endswith("\nLast words.")
+    tiny = "<body><div>Mini site</div><main><p>Short.</p></main><div>Imprint</div></body>"
+    assert main_text(tiny) == "Short."
+
+
+def test_large_and_deep_pages_take_linear_time():
+    for page in ("<div class=nav>x" * 30_000, "<article><p>x" * 30_000, "<div class=nav>" * 30_000 + "<article>x</article>", "<article>x</article>" * 30_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 5
 
 
 def test_random_articles_round_trip(spark):
