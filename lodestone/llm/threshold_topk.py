@@ -1,6 +1,7 @@
 """Exact top-k inner products by the threshold algorithm over sorted lists, one list a dimension.
 
-Candidates are dealt into blocks by hash of their id, queries likewise; each pair of a candidate
+Candidates are dealt into blocks by hash of their place in the written table, queries likewise, so that an id or a
+vector of very many rows falls into all blocks; each pair of a candidate
 block and a query block is one task's work, so a task holds two bounded blocks whatever the size of
 the table, and no task sees an unbounded group. In a task each dimension has its list of
 candidates in order of the component. The lists are read in rounds of growing depth, from the top
@@ -13,9 +14,11 @@ could tie with a smaller id. The results of the blocks are merged, k rows a quer
 Components become floor(256 * x) as whole numbers; products are summed exactly (float32 matrix
 products while every sum stays under 2^24, float64 under 2^53, Python integers beyond).
 
-Defined cases: a vector that is null, empty or holds a null or non-finite component takes no part,
-nor does a row without ``vec_id``. Of rows that repeat an id, the least vector counts. Vectors of
-different lengths are compared as if the shorter ended in zeros. With fewer than k candidates all
+Defined cases: a vector that is null or holds a null or non-finite component takes no part,
+nor does a row without ``vec_id``. Rows that repeat an id are candidates each; a query's own id is never one,
+and the ranks of a query id that is repeated run over all its rows. Vectors of
+different lengths are compared as if the shorter ended in zeros, so that an empty one scores 0. Components and
+scores beyond 64 bits count as the largest or least such number. With fewer than k candidates all
 are returned; an empty table gives an empty result. Other columns are ignored.
 
 The work is queries times candidates in the worst case. With a fiftieth of the rows as queries it
@@ -31,10 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, n_rows
 
 CANDIDATES_A_BLOCK, QUERIES_A_BLOCK = 16_384, 4_096
 K = 5
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -47,7 +51,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 
 def _typed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    most = a.shape[1] * np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0)
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
     return a.astype(kind), b.astype(kind)
 
@@ -77,7 +81,7 @@ def block_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
         rows_now = np.flatnonzero(fresh)
         if len(rows_now):
             scores = q[alive] @ x[rows_now].T
-            scores = scores.astype(np.float64) if scores.dtype != object else scores
+            scores = scores.astype(np.float64) if scores.dtype != object else np.minimum(np.maximum(scores, LEAST), MOST)
             scores[query_ids[alive][:, None] == ids[rows_now][None, :]] = -np.inf
             if len(rows_now) > 4 * k and scores.dtype != object:
                 # the kth score of each query; of rows equal to it, those of smaller ids
@@ -100,6 +104,7 @@ def block_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
             high, low = values[n - depth - 1].astype(q.dtype), values[depth].astype(q.dtype)
             part = q[alive]
             bound = np.where(part > 0, part * high, part * low).sum(axis=1)
+            bound = bound if bound.dtype != object else np.minimum(np.maximum(bound, LEAST), MOST)
             alive = alive[~(best_score[alive, k - 1] > bound)]
     return [
         (int(query_ids[i]), int(ids[best_row[i, j]]), int(best_score[i, j]))
@@ -110,22 +115,24 @@ def block_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of the components of vectors that take part, one row an id."""
+    """vec_id, v: floor(256 * x) of the components of vectors that take part."""
     x = F.col("embedding")
-    usable = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * 256).cast("long"))
-    return embeddings.where(F.coalesce(usable, F.lit(False))).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    usable = F.col("vec_id").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
+    whole = lambda y: F.when(y >= float(MOST), MOST).when(y <= float(LEAST), LEAST).otherwise(F.floor(F.when(F.abs(y) < float(MOST), y).otherwise(0.0)).cast("long"))
+    v = F.transform(x, lambda e: whole(e.cast("double") * 256))
+    return embeddings.where(F.coalesce(usable, F.lit(False))).select("vec_id", v.alias("v"))
 
 
 def exact_topk(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product for each query row."""
     vectors = cut(integer_vectors(embeddings))
-    n = vectors.count()
+    n = n_rows(vectors)
+    # places in the written table do not change if a task is run again
+    vectors = vectors.withColumn("_place", F.monotonically_increasing_id())
     queries = vectors.where(is_query)
     n_queries = queries.count()
     blocks, query_blocks = max(1, -(-n // CANDIDATES_A_BLOCK)), max(1, -(-n_queries // QUERIES_A_BLOCK))
-    cell = F.struct(F.col("_b"), F.col("_qb"))
-    number = lambda many, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(many))
+    number = lambda many, salt: F.pmod(F.xxhash64(F.lit(salt), "_place"), F.lit(many))
     candidates = vectors.withColumn("_b", number(blocks, "c")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = queries.withColumn("_qb", number(query_blocks, "q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -152,7 +159,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
