@@ -27,13 +27,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, small_or_shuffled
+from lodestone.llm.common import cut, small_or_shuffled, without
 
 #: 1: the token at this offset counts; 0: it is ignored.
 MASKS = ("111010011", "1100101101")
-#: With these, whatever two of twelve neighbouring tokens differ, some mask meets the others alone. The SQL has only ``MASKS``.
+#: With these, whatever two of twelve neighbouring tokens differ, some mask meets the others alone.
 MORE_MASKS = ("1110111",)
 WINDOW, PERCENT = 12, 80
+#: Hashes of items (three numbers each, some 60 MB in all) that are broadcast at most; beyond that the join is by shuffle.
+BROADCAST_SEEDS = 1_000_000
 
 
 def masks_of(size: int) -> tuple[str, ...]:
@@ -80,7 +82,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = [c for c in side.columns if c != h]
         both = side.select(*rest, F.array(*[seeds(h, m, k) if h == "dh" else F.when(at_most == size, seeds(h, m, k)) for k, (size, m) in enumerate(masks)]).cast("array<array<bigint>>").alias("_s")).select(*rest, F.explode_outer("_s").alias("_s"))
         sides.append(both.select(*rest, F.posexplode_outer("_s").alias(f"{h}_at", "seed")).where("seed is not null"))
-    known = small_or_shuffled(cut(sides[0].withColumnRenamed("seed", "_seed")))
+    known = small_or_shuffled(cut(sides[0].withColumnRenamed("seed", "_seed")), BROADCAST_SEEDS)
     found = sides[1].join(known, F.col("seed") == F.col("_seed"))
     return found.groupBy("doc_id", "text_hash", "item", (F.col("dh_at") - F.col("ih_at")).alias("shift")).agg(F.count(F.lit(1)).alias("seeds")), items
 
@@ -116,9 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that share no passage with the benchmark, with their columns."""
-    found = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(small_or_shuffled(found), same, "left_anti")
+    return without(docs, contaminated(docs, benchmark))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -127,21 +127,19 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same pairs by laying every document against every item on all diagonals with enough equal tokens."""
+    """The same pairs by laying every document against every item on all diagonals with enough equal tokens; it knows nothing of masks."""
     tokens = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-    masks = " OR ".join(f"list_has_all(ps, list_transform({_offsets(m)}, lambda k: k + s)) AND s + {len(m) - 1} < item_tokens AND s + {len(m) - 1} + shift < doc_tokens" for m in MASKS)
     return f"""
 WITH d AS (SELECT doc_id, {tokens} AS w FROM documents), i AS (SELECT DISTINCT item_id, {tokens} AS w FROM benchmark),
 dt AS (SELECT doc_id, len(w)::INT AS doc_tokens, unnest(w) AS t, unnest(range(len(w)))::INT AS p FROM d),
 it AS (SELECT item_id, len(w)::INT AS item_tokens, unnest(w) AS t, unnest(range(len(w)))::INT AS p FROM i),
 g AS (
   SELECT doc_id, item_id, dt.p - it.p AS shift, any_value(item_tokens) AS item_tokens, any_value(doc_tokens) AS doc_tokens, list_sort(list(it.p)) AS ps
-  FROM dt JOIN it ON dt.t = it.t GROUP BY ALL HAVING count(*) >= 6),
-h AS (SELECT * FROM g WHERE len(list_filter(ps, lambda s: {masks})) > 0),
+  FROM dt JOIN it ON dt.t = it.t GROUP BY ALL HAVING count(*) * 100 >= least(any_value(item_tokens), {WINDOW}) * {PERCENT}),
 v AS (
   SELECT *, least(item_tokens, {WINDOW}) AS width,
          list_max(list_transform(range(item_tokens - least(item_tokens, {WINDOW}) + 1), lambda j: len(list_filter(ps, lambda p: p >= j AND p < j + least(item_tokens, {WINDOW})))))::INT AS best_window
-  FROM h),
+  FROM g),
 k AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(ps) DESC, greatest(shift, 0), best_window DESC) AS n
   FROM v WHERE best_window * 100 >= width * {PERCENT})

@@ -7,7 +7,7 @@ from itertools import combinations
 from lodestone.llm.html_lines import SURGE, extracted, lines_of, main_text, passages
 from lodestone.llm.html_lines import WINDOW as WINDOW_LINES
 from lodestone.llm import spaced_seeds
-from lodestone.llm.spaced_seeds import MASKS, PERCENT, WINDOW, contaminated, decontaminated
+from lodestone.llm.spaced_seeds import PERCENT, WINDOW, contaminated, decontaminated
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body class="has-sidebar"><div id="page"><header class="site-header"><h1>Site</h1></header>
 <div class="navbar">Home | About</div><div class="cookie-notice">We use cookies to do this and that.</div>
@@ -128,13 +128,13 @@ def brute(docs, items):
         d = tokens(text)
         for item_id, passage in items:
             t, best = tokens(passage), None
+            if not t:
+                continue
             for shift in range(-len(t) + 1, len(d)):
                 same = [0 <= i + shift < len(d) and d[i + shift] == t[i] for i in range(len(t))]
                 w = min(WINDOW, len(t))
                 window = max((sum(same[j : j + w]) for j in range(len(t) - w + 1)), default=0)
-                inside = lambda j, m: j + len(m) <= len(t) and 0 <= j + shift and j + shift + len(m) <= len(d)
-                hit = any(inside(j, m) and all(same[j + k] for k, c in enumerate(m) if c == "1") for m in MASKS for j in range(len(t)))
-                if hit and window * 100 >= w * PERCENT:
+                if window * 100 >= w * PERCENT:
                     best = max(best or (0, 0, 0, 0), (sum(same), -max(shift, 0), window, len(t)))
             if best:
                 out.add((doc_id, item_id, -best[1], best[3], best[0], best[2]))
