@@ -15,8 +15,8 @@ the probabilities calibrated.
 
 Defined cases: null and empty texts and texts of white space have no tokens, vector zero and the
 network's score for it; labels that are null or not 0 or 1 are not learned from; of several labels
-of a document each counts; without two classes every score is the share of ones (0.5 if there are
-no labels). Repeated rows get equal scores. An empty table gives an empty result. Other columns are
+of a document each counts; without two classes among them every score is the share of ones (0.5 if there are
+no labels), and from two labels on the network is fitted, however few they are. A text of any length is pooled in bounded memory. Repeated rows get equal scores. An empty table gives an empty result. Other columns are
 ignored.
 """
 
@@ -137,7 +137,9 @@ def pooled(held: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     """Mean vector and logarithm of the number of tokens of each document."""
     out = np.zeros((len(held), DIMENSIONS + 1))
     sizes = np.array([len(h) for h in held])
-    full = np.flatnonzero(sizes)
+    full = np.flatnonzero((sizes > 0) & (sizes <= TOKENS_AT_ONCE))
+    for i in np.flatnonzero(sizes > TOKENS_AT_ONCE):  # a very long text by the counts of its buckets
+        out[i, :-1] = np.bincount(held[i], minlength=len(vectors)) @ vectors.astype(np.float64) / sizes[i]
     if len(full):
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         ids = np.concatenate([held[i] for i in full])
@@ -164,7 +166,7 @@ class Network:
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
     net = Network(float(y.mean()) if len(y) else 0.5)
-    if len(set(y.tolist())) < 2 or len(y) < 10:
+    if len(set(y.tolist())) < 2:
         return net
     rng = np.random.default_rng(seed)
     kept = np.arange(len(y)) % 5 == 0
@@ -213,8 +215,9 @@ def scored(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int =
     share = min(1.0, sample / max(1, good.count()))
     drawn = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = good.where(drawn < share).withColumnRenamed("doc_id", "_id").withColumnRenamed("quality", "_label")
-    found = docs.select("doc_id", "text").join(small_or_shuffled(chosen), F.col("doc_id") == F.col("_id")).select("_label", "text").limit(2 * sample)
-    rows = sorted((r["_label"], bytes(r.x)) for r in _vectors_of(found, shared, "_label", "int").collect())
+    found = docs.select("doc_id", "text").join(small_or_shuffled(chosen), F.col("doc_id") == F.col("_id")).select("_label", "text")
+    # vectors, not texts, come together; repeated labels could pass the share by any number, this bound holds always
+    rows = sorted((r["_label"], bytes(r.x)) for r in _vectors_of(found, shared, "_label", "int").limit(2 * sample).collect())
     x = np.stack([np.frombuffer(b) for _, b in rows]) if rows else np.zeros((0, DIMENSIONS + 1))
     net = sc.broadcast(fit(x, np.array([y for y, _ in rows], dtype=int)))
     kind = docs.schema["doc_id"].dataType.simpleString()
