@@ -13,7 +13,9 @@ to be small, and a shuffled join with that table splits a hot source (adaptive s
 Defined cases: a null source is a source of its own and comes last; a null text has no words and
 is emitted by the same rule with 0 words; a source without words has target 0 and rate 0, and a
 table without words gives targets 0; repeated rows draw the same number when both id and text are
-equal. Sources are in code point order. An empty table gives an empty result.
+equal. Sources are in code point order. An empty table gives an empty result. Other columns are
+kept by :func:`mixed`, whatever their names, and ignored otherwise. The table of sources (a few numbers each) is put
+in order in one task; nothing else is.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document: the kept columns, _size, _source_size, _target, _rate, _copies."""
-    sized = docs.withColumn("_size", n_words(F.col("text")))
+    sized = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "source", "text")], n_words(F.col("text")).alias("_size"))
     targets = cut(source_targets(sized.select("source", F.col("_size").alias("size")), weights, most))
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
@@ -81,9 +83,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as many times as its plan says."""
-    plan = mix_plan(docs, weights, most, seed, keep=docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    plan = mix_plan(whole, weights, most, seed, keep=["_row"]).where("_copies > 0")
     # ``most`` copies and one at most, so the repeated rows stay in their task
-    return plan.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ GIVES_OTHERS = r"(?i)(sha|commit|hash|uuid|guid|checksum|digest|example|version|
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|vendor|docs?/|\.md$|lock$)"
 PLACEHOLDER = r"(?i)(x{4}|example|sample|changeme|placeholder|your|dummy|1234567|abcdef|0{6})"
 FEATURES = ("length", "changes", "digits", "variety", "coverage", "capitals", "hex", "placeholder", "test_path", "keyword", "other_word", "slashes")
-LEAST_COUNT, PIECE = 3, 4
+#: A beginning counts if it occurs so often, and so often in this many words, however large the corpus.
+LEAST_COUNT, IN_WORDS, PIECE = 3, 1 << 20, 4
 TREES, DEPTH, LEAST_LEAF, MOST_FINDINGS = 15, 5, 5, 4_000
 THRESHOLD = 0.5
 
@@ -106,9 +107,11 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """The four-letter beginnings of words, lower-cased, that all texts hold at least ``LEAST_COUNT`` times."""
+    """The four-letter beginnings of words, lower-cased, that all texts hold at least ``LEAST_COUNT`` times, and as often in ``IN_WORDS`` words."""
     begins = F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{PIECE}}}"), F.lit(0)))
-    return docs.select(begins.alias("piece")).where("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT).select("piece")
+    counts = cut(docs.select(begins.alias("piece")).where("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(LEAST_COUNT, LEAST_COUNT * words / IN_WORDS)).select("piece")
 
 
 def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ holds each source in the proportion that it has of the whole.
 No sort needs one task: the seeded order is cut into ranges of the (uniform) hash, a small table
 of counts for each source and range gives the rank at which a range starts, and ``row_number``
 works inside a range only. The order of fractions is cut into ranges likewise; how many rows of a
-source precede a range follows from the source's count alone, in whole numbers.
+source fall into a range follows from the source's count alone, in whole numbers.
 
 Law: ``rows``. Counts of shards differ by one at most. A source of a third of all rows is spread
 over all its hash ranges. Text never enters a shuffle: size and checksum are taken at the scan.
@@ -63,12 +63,15 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: str = "interleave")
     )
     # rows of a source before slice g: the least r with (2r + 1) * ranges >= 2 * n * g
     sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_of"))
-    slices = (
-        sources.select("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))).alias("_g"))
-        .select("_g", "_of", F.expr(f"greatest(0L, (2 * _of * _g + {ranges}L - 1) div (2 * {ranges}L))").alias("_b"))
-        .groupBy("_g")
-        .agg(F.sum("_b").alias("_base"))
+    # a source of fewer rows than slices gives a row for each of its rows, any other one for each slice
+    first = lambda g: f"(2 * _of * {g} + {ranges}L - 1) div (2 * {ranges}L)"
+    steps = sources.select("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_of", F.lit(ranges)) - 1)).alias("_i"))
+    filled = steps.select(
+        F.expr(f"IF(_of < {ranges}, ((2 * _i + 1) * {ranges}L) div (2 * _of), _i)").alias("_g"),
+        F.expr(f"IF(_of < {ranges}, 1L, {first('(_i + 1)')} - {first('_i')})").alias("_rows"),
     )
+    in_order = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # of ``MOST_RANGES`` rows at most
+    slices = filled.groupBy("_g").agg(F.sum("_rows").alias("_rows")).select("_g", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_base"))
     placed = (
         ranked.withColumn(
             "_in", F.row_number().over(Window.partitionBy("_slice").orderBy(F.col("_odd") / F.col("_of"), F.col("source").asc_nulls_last(), "_odd"))
