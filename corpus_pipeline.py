@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import quality, sharding
-from lodestone.llm.common import cut, ensure_checkpoint_dir, small_or_shuffled, table
+from lodestone.llm.common import ensure_checkpoint_dir, table, without
 from lodestone.llm.lsh_forest import deduplicated
 from lodestone.llm.mixing import mixed
 from lodestone.llm.spaced_seeds import decontaminated
@@ -26,9 +26,7 @@ SHARDS = 40
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of the threshold and over)."""
     scores = quality.scored(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    gone = cut(scores.where(F.col("score") < quality.THRESHOLD).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(small_or_shuffled(gone), same, "left_anti")
+    return without(docs, scores.where(F.col("score") < quality.THRESHOLD))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
