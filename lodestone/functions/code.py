@@ -6,6 +6,10 @@ import ast
 import json
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 SYMBOL = {
     "c": r"^[A-Za-z_][\w\s\*]*?\b(?P<name>[A-Za-z_]\w*)\s*\([^;{]*\)\s*\{|^(?:typedef\s+)?(?:struct|enum|union)\s+(?P<name2>\w+)",
     "go": r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)|^type\s+(?P<name2>\w+)",
@@ -106,3 +110,51 @@ def hash01(s: str) -> float:
     for unit in memoryview(raw).cast("H"):
         h = ((h ^ unit) * 0x01000193) & 0xFFFFFFFF
     return h / 2**32
+
+
+def _arrow(f, kind: str):
+    """A column function that calls ``f`` on every value of Arrow batches; null for null."""
+    return F.pandas_udf(lambda s: pd.Series([None if v is None else f(v) for v in s]), kind)
+
+
+def symbols_of(text: Column | str, lang: str) -> Column:
+    """Declarations of a column of sources."""
+    names = ("name", "kind", "line")
+    return _arrow(lambda t: [dict(zip(names, x, strict=True)) for x in symbols(t, lang)], "array<struct<name:string,kind:string,line:int>>")(text)
+
+
+def imports_of(text: Column | str, lang: str) -> Column:
+    """Imports of a column of sources."""
+    return _arrow(lambda t: [{"spec": s, "system": y} for s, y in imports(t, lang)], "array<struct<spec:string,system:boolean>>")(text)
+
+
+#: Symbols that a file's meta lists at most.
+META_SYMBOLS = 500
+
+
+def code_meta(text: Column | str, lang: str) -> Column:
+    """language and the first symbols, as a file's meta has them."""
+    names = F.transform(symbols_of(text, lang), lambda s: s["name"])
+    return F.struct(F.lit(lang).alias("language"), F.slice(names, 1, META_SYMBOLS).alias("symbols"))
+
+
+def display_tokens_of(text: Column | str) -> Column:
+    return _arrow(lambda t: [{"kind": k, "text": x} for k, x in display_tokens(t)], "array<struct<kind:string,text:string>>")(text)
+
+
+def sections_of(text: Column | str, names: tuple[str, ...]) -> Column:
+    """(error, sections) of a column of section files."""
+
+    def of(t: str) -> dict:
+        try:
+            return {"error": None, "sections": section_file(t, names)}
+        except ValueError as e:
+            return {"error": str(e), "sections": None}
+
+    kind = "error string, sections map<string,string>"
+    return F.pandas_udf(lambda s: pd.DataFrame([of(v or "") for v in s], columns=["error", "sections"]), kind)(text)
+
+
+def metadata_kind(value: Column) -> Column:
+    """number, bool, null or string, by the rule of :func:`typed_metadata`."""
+    return F.when(value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").when(value.isin("true", "false"), "bool").when(value == "null", "null").otherwise("string")

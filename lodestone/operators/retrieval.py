@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,9 @@ from lodestone.config import B, DECIMALS, K1, RRF_K
 from lodestone.functions.text import all_terms, query_terms
 from lodestone.operators.common import is_small
 
+#: Queries that travel to a vector scan together.
+QUERIES_AT_ONCE = 10_000
+
 rounded = lambda c: F.round(c, DECIMALS)
 
 
@@ -95,7 +99,12 @@ def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
     Queries are few and travel to the scan; each batch keeps k rows a query, so that what is
     shuffled is bounded by batches x queries x k.
     """
-    asked = queries.select("query", "qv").toPandas()  # the stated query set
+    n = queries.count()
+    if n > QUERIES_AT_ONCE:  # a scan for each part of the queries
+        parts = -(-n // QUERIES_AT_ONCE) + 1
+        part = lambda i: vector_scores(vectors, key, vector, queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i), k)
+        return reduce(DataFrame.union, map(part, range(parts)))
+    asked = queries.select("query", "qv").toPandas()  # counted above
     shared = vectors.sparkSession.sparkContext.broadcast((asked["query"].to_numpy(), np.array(asked["qv"].tolist(), dtype=np.float64)))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,8 +114,10 @@ def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
                 continue
             scores = np.array(rows[vector].tolist(), dtype=np.float64) @ q.T
             keys = rows[key].to_numpy()
+            most = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else None
             for j, name in enumerate(names):
-                best = np.lexsort((keys, -scores[:, j]))[:k]
+                kept = np.arange(len(scores)) if most is None else np.flatnonzero(scores[:, j] >= most[j])
+                best = kept[np.lexsort((keys[kept], -scores[kept, j]))[:k]]
                 yield pd.DataFrame({"query": name, key: keys[best], "score": scores[best, j]})
 
     kind = vectors.schema[key].dataType.simpleString()

@@ -198,10 +198,15 @@ def n12(spark, sf):
 
 @query("n11_amendments", sql="WITH a AS (SELECT user_id, event_id, event_type || event_id AS t FROM events WHERE event_type = 'click') SELECT c.event_id, list_aggregate(list_sort(list(a.event_id)), 'string_agg', ',') AS earlier, arg_max(a.t, a.event_id) AS latest FROM events c JOIN a ON a.user_id = c.user_id AND a.event_id > c.event_id WHERE c.event_type = 'signup' GROUP BY c.event_id")
 def n11(spark, sf):
-    e = table(spark, sf, "events")
-    a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("pos"), F.concat("event_type", "event_id").alias("t"))
-    pairs = e.where("event_type = 'signup'").select("user_id", "event_id").join(a, "user_id").where("pos > event_id")
-    return pairs.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: x.cast("string")), ",").alias("earlier"), F.max_by("t", "pos").alias("latest"))
+    """Amendments after each commit: one list a user, of which every commit takes the end; the list is the result's own size."""
+    e = table(spark, sf, "events").where("event_type in ('click', 'signup')")
+    click = F.col("event_type") == "click"
+    later = Window.partitionBy("user_id").orderBy(F.col("event_id").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    n, last = F.count(F.when(click, 1)).over(later), F.max(F.when(click, F.col("event_id"))).over(later)
+    commits_ = e.select("user_id", "event_id", "event_type", n.cast("int").alias("n"), last.alias("last")).where("event_type = 'signup' and n > 0")
+    lists = e.where(click).groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("all"))
+    ends = commits_.join(lists, "user_id").select("event_id", "last", F.slice("all", F.size("all") - F.col("n") + 1, F.col("n")).alias("ids"))
+    return ends.select("event_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("earlier"), F.concat(F.lit("click"), F.col("last").cast("string")).alias("latest"))
 
 
 @query("f13_history_filter", sql="SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND event_type IN ('click', 'view') AND (event_id::VARCHAR = '9001' OR contains(props, '1'))")
@@ -246,10 +251,10 @@ def q5(spark, sf):
 @query("h25_commit_point", sql="SELECT user_id, event_id, row_number() OVER (ORDER BY event_id) AS dense FROM events QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)")
 def h25(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id")
-    heads = e.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    # event ids are dense from 0, so a position is the id's count from the first
-    first = e.agg(F.min("event_id").alias("low"))
-    return heads.crossJoin(F.broadcast(first)).select("user_id", "event_id", (F.col("event_id") - F.col("low") + 1).alias("dense"))
+    from lodestone.operators.store import running_base
+
+    placed = running_base(e.withColumn("one", F.lit(1)), "one", ["event_id"])
+    return placed.groupBy("user_id").agg(F.max("event_id").alias("event_id"), (F.max_by("base", "event_id") + 1).cast("long").alias("dense"))
 
 
 @query("t14_message_checks", sql=r"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),

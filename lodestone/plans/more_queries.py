@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.functions.code import hash01
+from lodestone.functions.code import hash01, metadata_kind
 from lodestone.operators import history as H
 from lodestone.plans.log_queries import EDITS, commits
 from lodestone.plans.registry import query, table
@@ -23,19 +23,19 @@ def h10(spark, sf):
     return touched.join(after, "file").join(before, "file", "left").select("file", (F.coalesce("before", F.lit("")) != F.col("after")).alias("changed"), "commits")
 
 
-@query("h3_snapshot_seed", sql=f"WITH RECURSIVE {EDITS} SELECT file, true AS same FROM rp GROUP BY file")
+@query("h3_snapshot_seed", sql=f"WITH RECURSIVE {EDITS} SELECT file, array_to_string(lines, chr(10)) AS text FROM rp QUALIFY row_number() OVER (PARTITION BY file ORDER BY i DESC) = 1")
 def h3(spark, sf):
-    """Replay in two steps, from a snapshot, gives the text of one replay."""
+    """Replay in two steps, from a snapshot."""
     c = commits(spark, sf)
     snap = H.replay(c, until=F.lit(4999)).select("file", F.col("lines").alias("seed"))
     rest = H.ordered_edits(c.where("pos > 4999")).withColumnRenamed("edits", "later")
     both = H.replay(c).join(snap, "file", "left").join(rest, "file", "left")
     none = F.array().cast("array<string>")
     seeded = F.when(F.col("later").isNull(), F.coalesce("seed", none)).otherwise(F.aggregate("later", F.coalesce("seed", none), H.applied))
-    return both.select("file", (seeded == F.col("lines")).alias("same"))
+    return both.select("file", F.concat_ws("\n", seeded).alias("text"))
 
 
-@query("h12_show_commit", sql="WITH a AS (SELECT user_id, event_id AS pos, value FROM events WHERE event_type = 'click') SELECT c.event_id, c.event_type, count(a.pos) AS amended, arg_max(a.value, a.pos) AS latest FROM events c LEFT JOIN a ON a.user_id = c.user_id AND a.pos > c.event_id AND a.pos < c.event_id + 500 WHERE c.event_type = 'purchase' GROUP BY ALL")
+@query("h12_show_commit", sql="WITH a AS (SELECT user_id, event_id AS pos, value FROM events WHERE event_type = 'click') SELECT c.event_id, c.event_type, count(a.pos) AS amended, arg_max(a.value, a.pos) AS latest FROM events c LEFT JOIN a ON a.user_id = c.user_id AND a.pos > c.event_id WHERE c.event_type = 'purchase' GROUP BY ALL")
 def h12(spark, sf):
     """Amendments of every commit, however late: running counts from the end of its user's events."""
     e = table(spark, sf, "events").where("event_type in ('click', 'purchase')")
@@ -166,8 +166,7 @@ def w15(spark, sf):
 def x16(spark, sf):
     i = F.col("event_id")
     v = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, F.concat(F.lit("0"), i.cast("string"))).when(i % 4 == 2, "true").otherwise(F.col("event_type"))
-    kind = F.when(v.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"), "number").when(v.isin("true", "false"), "bool").otherwise("string")
-    return table(spark, sf, "events").select("event_id", kind.alias("kind"))
+    return table(spark, sf, "events").select("event_id", metadata_kind(v).alias("kind"))
 
 
 @query("x18_gap_labels", sql="WITH g AS (SELECT event_id, floor((epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id))) / 60)::BIGINT AS m FROM events) SELECT event_id, CASE WHEN m < 60 THEN m || ' min later' WHEN m < 1440 THEN (m // 60) || ' h later' ELSE (m // 1440) || ' days later' END AS label FROM g WHERE m >= 5")

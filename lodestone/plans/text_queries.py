@@ -63,7 +63,7 @@ def r2(spark, sf):
 @query("z1_tail_fold", sql="SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def z1(spark, sf):
     """Events as log files, tailed to the last record of each user."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     work = os.path.join(base, f"tail-{uuid.uuid4().hex}")
     table(spark, sf, "events").select("event_id", "user_id", "event_type").repartitionByRange(4, "event_id").write.json(f"{work}/log")
     records = tail.stream_records(spark, f"{work}/log", "event_id long, user_id long, event_type string", files_a_batch=2)

@@ -6,32 +6,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 1 << 20
-VENDORED = ("node_modules", "vendor", "third_party", "dist", "build", "target", "__pycache__")
-GENERATED_NAME = r"(?i)(^|/)(package-lock\.json|yarn\.lock|cargo\.lock|go\.sum)$|\.min\.(js|css)$|\.map$|_pb2\.py$|\.pb\.go$"
+# fixed values: folders of code that is not one's own, names and name endings of generated files, media types of whole names
+VENDORED = ("node_modules", "vendor", "third_party", "third-party", "bower_components", "__pycache__", "venv", "site-packages")
+GENERATED_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "go.sum", "poetry.lock", "composer.lock", "Gemfile.lock", "Pipfile.lock")
+GENERATED_SUFFIXES = (".min.js", ".min.mjs", ".min.css", ".bundle.js", ".pb.go", "_pb2.py", ".pb.h", ".pb.cc", ".g.dart", ".designer.cs")
+WHOLE_NAMES = {"Makefile": "text/x-makefile", "makefile": "text/x-makefile", "GNUmakefile": "text/x-makefile", "Dockerfile": "text/x-dockerfile", "CMakeLists.txt": "text/x-cmake", "README": "text/plain", "CHANGELOG": "text/plain", "CONTRIBUTING": "text/plain"}
 GENERATED_TEXT = r"(?i)generated by|do not edit|@generated"
 EXTENSIONS = {"md": "text/markdown", "markdown": "text/markdown", "html": "text/html", "htm": "text/html", "txt": "text/plain", "py": "text/x-python", "c": "text/x-c", "h": "text/x-c", "go": "text/x-go", "rs": "text/x-rust", "ts": "text/typescript", "tsx": "text/typescript", "js": "text/javascript", "json": "application/json"}
 BATCH = "id string, path string, title string, text string, mime string, collection string, meta string"
 
 
+def name_of(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def folder_bucket(path: Column) -> Column:
+    """``hidden`` or ``vendored`` if a folder of the path (or, hidden, the file) is; else null."""
+    folders = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    return F.when(F.exists(F.split(path, "/"), lambda s: s.startswith(".")), "hidden").when(F.exists(folders, lambda s: s.isin(*VENDORED)), "vendored")
+
+
+def is_generated_name(path: Column) -> Column:
+    name = name_of(path)
+    ends = F.lit(False)
+    for s in GENERATED_SUFFIXES:
+        ends = ends | name.endswith(s)
+    return name.isin(*GENERATED_NAMES) | ends
+
+
 def mime_of(path: Column, text: Column) -> Column:
-    """By extension as written; else by how the text begins."""
-    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+    """By the whole name or the extension, as written; else by how the text begins."""
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    whole, known = of(WHOLE_NAMES)[name_of(path)], of(EXTENSIONS)
     headings = F.regexp_count(text, F.lit(r"(?m)^#{2,6} "))
     sniffed = F.when(text.rlike(r"(?i)^\s*(<!doctype html|<html)"), "text/html").when(text.rlike(r"^\s*#{1,6} ") | (headings >= 2), "text/markdown").otherwise("text/plain")
-    return F.coalesce(known[F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)], sniffed)
+    return F.coalesce(whole, known[F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)], sniffed)
 
 
 def bucket_of(path: Column, size: Column, content: Column) -> Column:
     """Why a file is not taken, tested in this order; null if it is taken."""
-    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     text = content.cast("string")
     head = F.concat_ws("\n", F.slice(F.split(text, "\n"), 1, 5))
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     return (
-        F.when(F.exists(F.split(path, "/"), lambda s: s.startswith(".")), "hidden")
-        .when(F.exists(folders, lambda s: s.isin(*VENDORED)), "vendored")
-        .when(~extension.isin(*EXTENSIONS), "other_type")
-        .when(path.rlike(GENERATED_NAME), "generated_name")
+        F.when(folder_bucket(path).isNotNull(), folder_bucket(path))
+        .when(~extension.isin(*EXTENSIONS) & ~name_of(path).isin(*WHOLE_NAMES) & ~is_generated_name(path), "other_type")
+        .when(is_generated_name(path), "generated_name")
         .when(content.isNull(), "unreadable")
         .when(size > MOST_BYTES, "large")
         .when((size == 0) | ~F.is_valid_utf8(text) | F.contains(text, F.lit("\x00")), "binary_or_empty")
