@@ -9,6 +9,10 @@ from lodestone.config import BYTES_PER_TOKEN, MAX_PARTS, MAX_QUERY_TERMS, MAX_TE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]+"
+#: Terms that may have parts: a capital, digit or underscore after a letter, or a digit or underscore at the beginning.
+COMPOUND = r"(?:[A-Za-z\x{80}-\x{10FFFF}][a-z\x{80}-\x{10FFFF}]*+[A-Z0-9_]|[0-9_])[A-Za-z0-9_\x{80}-\x{10FFFF}]*"
+#: A text without this holds no term of more than 64 bytes.
+LONG = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]{17}"
 #: Boundaries of compound terms: underscores, a rise to a capital, a digit edge, the last capital of a run.
 BOUNDARY = r"_+|(?<=[^A-Z])(?=[A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[A-Z])(?=[A-Z][a-z])"
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
@@ -46,6 +50,13 @@ def all_terms(text: Column | str) -> Column:
     return F.flatten(F.transform(primary_terms(text), split))
 
 
+def counted_terms(text: Column | str) -> Column:
+    """The same terms as ``all_terms`` in any order: whole terms from one pass over the folded text, parts only of terms that have any."""
+    folded = primary_terms(fold(text))
+    whole = F.when(F.col(text).rlike(LONG) if isinstance(text, str) else text.rlike(LONG), F.transform(folded, clip_term)).otherwise(folded)
+    return F.concat(whole, F.flatten(F.transform(F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0)), parts_of)))
+
+
 def query_terms(text: Column | str) -> Column:
     return F.slice(F.array_distinct(all_terms(text)), 1, MAX_QUERY_TERMS)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -15,3 +17,26 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the cluster's checkpoint folder, or the warehouse where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut through the shared folder; the rows are computed once for all that reads them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints-{uuid.uuid4().hex}")
+    return df.checkpoint(eager=True)
+
+
+#: A table is dealt out where it is read in fewer pieces a core than this.
+PIECES_A_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt over all cores, since its files may hold them in a single piece; tables read in many pieces stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(PIECES_A_CORE * cores) if df.rdd.getNumPartitions() < PIECES_A_CORE * cores else df

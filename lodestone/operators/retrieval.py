@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import B, DECIMALS, K1, RRF_K
-from lodestone.functions.text import all_terms, query_terms
-from lodestone.operators.common import is_small
+from lodestone.functions.text import counted_terms, query_terms
+from lodestone.operators.common import cut, is_small, spread
 
 #: Queries that travel to a vector scan together.
 QUERIES_AT_ONCE = 10_000
@@ -22,7 +22,7 @@ rounded = lambda c: F.round(c, DECIMALS)
 
 def terms_of(docs: DataFrame, key: str, fields: dict[str, int], *more: Column) -> DataFrame:
     """key, ts, len: the terms of all fields with their weights, and the weighted length; tokenised once."""
-    arrays = docs.select(key, *more, *[F.coalesce(all_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)])
+    arrays = spread(docs).select(key, *more, *[F.coalesce(counted_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)])
     with_weight = lambda w: lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))  # noqa: E731  a second parameter would be the index
     weighted = [F.transform(f"_t{i}", with_weight(w)) for i, w in enumerate(fields.values())]
     size = sum((F.size(f"_t{i}") * w for i, w in enumerate(fields.values())), F.lit(0))
@@ -45,34 +45,63 @@ def corpus_stats(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame
     return terms_of(docs, key, fields).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"), F.avg("len").alias("avgdl"))
 
 
+def counted(terms: DataFrame, *own: str) -> DataFrame:
+    """own, term, tf of ``terms_of``, and for each document a row without term whose tf is 1: what statistics are made of."""
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("w")))
+    rows = terms.select(*own, F.explode(F.concat("ts", itself)).alias("_x")).select(*own, "_x.term", "_x.w")
+    return rows.groupBy(*own, "term").agg(F.sum("w").cast("long").alias("tf"))
+
+
+def stats_of(rows: DataFrame) -> DataFrame:
+    """One row: n, total_len, avgdl from the rows without term."""
+    docs = rows.where("term is null")
+    n, total = F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0))
+    return docs.agg(n.alias("n"), total.alias("total_len"), F.try_divide(total, n).alias("avgdl"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame, min_score: float | None = None, keep: Column | None = None) -> DataFrame:
-    """query, key, score for every pair with a common term.
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query", F.explode(query_terms("text")).alias("term"))
 
-    ``queries``: query, text. Only postings of query terms leave the scan: terms of queries, few by
-    definition, are joined before anything is counted. Statistics stay those of the whole corpus
-    when ``keep`` filters documents.
-    """
-    asked = queries.select("query", F.explode(query_terms("text")).alias("term"))
-    few = is_small(asked)
+
+def scored(rows: DataFrame, key: str, asked: DataFrame, few: bool, min_score: float | None = None, kept: Column | None = None) -> DataFrame:
+    """query, key, score from rows of ``counted`` that hold at least the terms asked for."""
     mark = F.broadcast if few else (lambda d: d)
-    terms = mark(asked.select("term").distinct())
-    own = [key, "len", "_keep"]
-    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"))
-    hits = exploded(rows, *own).join(terms, "term").groupBy(*own, "term").agg(F.sum("w").cast("long").alias("tf"))
+    hits = rows.where("term is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, key, fields)
-    weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # one row of statistics
-    scored = hits.where("_keep").join(mark(weights), "term").join(mark(asked), "term")
+    weights = df.crossJoin(F.broadcast(stats_of(rows))).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # one row of statistics
+    found = (hits if kept is None else hits.where(kept)).join(mark(weights), "term").join(mark(asked), "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    out = scored.groupBy("query", key).agg(F.sum(part).alias("score"))
+    out = found.groupBy("query", key).agg(F.sum(part).alias("score"))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
+def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame, min_score: float | None = None, keep: Column | None = None) -> DataFrame:
+    """query, key, score for every pair with a common term, without a stored index.
+
+    ``queries``: query, text. Documents are tokenised once; postings of query terms and the documents'
+    lengths go to the shared folder, and statistics, document frequencies and scores are read from
+    there. Statistics stay those of the whole corpus when ``keep`` filters documents.
+    """
+    asked = asked_terms(queries)
+    few = is_small(asked)
+    terms = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    own = [key, "len", "_keep"]
+    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("w")))
+    each = rows.select(*own, F.explode(F.concat("ts", itself)).alias("_x")).select(*own, "_x.term", "_x.w")
+    if few:
+        each = each.join(F.broadcast(terms), "term", "left").where("_asked or term is null")
+        found = each.groupBy(*own, "term").agg(F.sum("w").cast("long").alias("tf"))
+    else:  # counted before the terms are shuffled to the queries'
+        found = counted(rows, *own).join(terms, "term", "left").where("_asked or term is null").drop("_asked")
+    return scored(cut(found), key, asked, few, min_score, F.col("_keep"))
+
+
 def top_k(scored: DataFrame, k: int, by: str, key: str) -> DataFrame:
     """The k best rows of each ``by`` with their rank; ties to the smaller key. Spark cuts each partition to k rows before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), F.col(key))

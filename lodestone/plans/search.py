@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.config import DEFAULT_K, MAX_K, SEMANTIC_WEIGHT
+from lodestone.config import DEFAULT_K, MAX_K, SEMANTIC_WEIGHT, SEMANTIC_WEIGHT_IDENTIFIER
 from lodestone.functions.snippet import snippets
-from lodestone.functions.text import query_terms
+from lodestone.functions.text import identifier_shaped, query_terms
 from lodestone.operators import retrieval as R
+from lodestone.operators.common import bounded
+
+
+def weighted_by_shape(lists: DataFrame, queries: DataFrame) -> tuple[DataFrame, Column]:
+    """``lists`` with each query's weight of the vector list, smaller for a query shaped like an identifier, and the weight of a row."""
+    shape = F.when(identifier_shaped("text"), SEMANTIC_WEIGHT_IDENTIFIER).otherwise(SEMANTIC_WEIGHT)
+    out = lists.join(bounded(queries.select("query", shape.alias("_shape"))), "query", "left")
+    return out, F.when(F.col("list_no") == 0, 1 - F.col("_shape")).otherwise(F.col("_shape"))
 
 
 def hybrid_search(
@@ -19,24 +27,33 @@ def hybrid_search(
     vector: str,
     queries: DataFrame,
     k: int = DEFAULT_K,
-    semantic_weight: float = SEMANTIC_WEIGHT,
+    semantic_weight: float | None = None,
     fusion: str = "score",
     keep: Column | None = None,
+    fields: dict[str, int] | None = None,
 ) -> DataFrame:
     """query, key, rank, score, matched, snippet for ``queries`` (query, text, qv or null).
 
     Lists are cut to max(3k, 50) before they are fused. Without vectors, or for queries without
     one, the keyword list alone decides. Statistics are the corpus's whatever ``keep`` leaves out.
+    ``fields`` weighs columns in the keyword list (the text alone by default); without
+    ``semantic_weight`` the query's shape decides it.
     """
     k = min(max(k, 1), MAX_K)
     depth = max(3 * k, 50)
-    kw = R.top_k(R.bm25(docs, key, {text: 1}, queries.select("query", "text"), keep=keep), depth, "query", key)
+    kw = R.top_k(R.bm25(docs, key, fields or {text: 1}, queries.select("query", "text"), keep=keep), depth, "query", key)
     lists = kw.select("query", F.lit(0).alias("list_no"), "rank", key, "score")
     if vectors is not None:
         alive = vectors if keep is None else vectors.join(docs.where(keep).select(key), key, "left_semi")
         sem = R.vector_scores(alive, key, vector, queries.where("qv is not null").select("query", "qv"), depth)
         lists = lists.union(sem.select("query", F.lit(1).alias("list_no"), "rank", key, "score"))
-    fused = R.rrf(lists, key) if fusion == "rrf" else R.score_fusion(lists, key, {0: 1 - semantic_weight, 1: semantic_weight})
+    if fusion == "rrf":
+        fused = R.rrf(lists, key)
+    elif semantic_weight is None:
+        weighed, weight = weighted_by_shape(lists, queries)
+        fused = R.score_fusion(weighed, key, weight)
+    else:
+        fused = R.score_fusion(lists, key, {0: 1 - semantic_weight, 1: semantic_weight})
     best = R.fused_order(fused, key, k)
     matched = lists.groupBy("query", key).agg(F.array_sort(F.collect_set(F.when(F.col("list_no") == 0, "keyword").otherwise("semantic"))).alias("matched"))
     asked = queries.select("query", query_terms("text").alias("terms"))

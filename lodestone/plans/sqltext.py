@@ -21,14 +21,14 @@ def terms(x: str) -> str:
     return f"flatten(list_transform({primaries(x)}, lambda p: list_concat([{fold('p')}], {parts})))"
 
 
-def bm25(k: int | None = None) -> str:
-    """CTEs ending in bm(query, doc_id, score) for benchmark items as queries over documents."""
+def bm25(doc_terms: str = "", asked: str = "") -> str:
+    """CTEs ending in bm(query, doc_id, score): benchmark items as queries over documents' texts, unless expressions for either are given."""
     return f"""
-d AS (SELECT doc_id, {terms('text')} AS t FROM documents),
+d AS (SELECT doc_id, {doc_terms or terms('text')} AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY doc_id, term),
 dfs AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT DISTINCT item_id AS query, unnest({terms('text')}) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query, unnest({terms(asked or 'text')}) AS term FROM benchmark),
 bm AS (SELECT query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM q JOIN p USING (term) JOIN dfs USING (term) CROSS JOIN st GROUP BY query, doc_id)"""
 

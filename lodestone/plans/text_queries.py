@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.config import SEMANTIC_WEIGHT
 from lodestone.functions import text as X
 from lodestone.functions.chunks import OVERLAP, TARGET, chunks
 from lodestone.functions.lines import diff_regions
+from lodestone.operators.common import shared_folder
 from lodestone.operators.layout import layout
 from lodestone.plans.registry import query, table
 from lodestone.plans.search import hybrid_search
@@ -50,7 +50,7 @@ def g8(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
     q = b.join(e, F.col("doc_id") == F.col("query"), "left").select("query", "text", F.col("embedding").alias("qv"))
-    return hybrid_search(docs, "doc_id", "text", e, "embedding", q, semantic_weight=SEMANTIC_WEIGHT)
+    return hybrid_search(docs, "doc_id", "text", e, "embedding", q)
 
 
 @query("r2_force_layout")
@@ -63,8 +63,7 @@ def r2(spark, sf):
 @query("z1_tail_fold", sql="SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def z1(spark, sf):
     """Events as log files, tailed to the last record of each user."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    work = os.path.join(base, f"tail-{uuid.uuid4().hex}")
+    work = os.path.join(shared_folder(spark), f"tail-{uuid.uuid4().hex}")
     table(spark, sf, "events").select("event_id", "user_id", "event_type").repartitionByRange(4, "event_id").write.json(f"{work}/log")
     records = tail.stream_records(spark, f"{work}/log", "event_id long, user_id long, event_type string", files_a_batch=2)
     tail.tail_to_state(records, f"{work}/state", f"{work}/offsets", "user_id", "event_id").awaitTermination()
