@@ -140,3 +140,14 @@ def chunks(docs: DataFrame, key: str, text: str, lang: str, target: int = TARGET
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text)).mapInPandas(task, f"{key} {kind}, {SCHEMA}")
+
+
+def symbol_chunks(docs: DataFrame, key: str, text: str, lang: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """key, name, kind, at, ordinal: every declaration with the byte on which its line begins and the chunks that hold that byte."""
+    from lodestone.functions.code import symbols_of
+
+    named = docs.select(key, F.split(text, "\n").alias("_l"), F.explode(symbols_of(text, lang)).alias("_s"))
+    at = F.aggregate(F.slice("_l", F.lit(1), F.greatest(F.col("_s.line") - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1)
+    starts = named.select(key, "_s.name", "_s.kind", at.alias("at"))
+    spans = chunks(docs, key, text, "code", target, overlap).select(key, "ordinal", "start", "end")
+    return starts.join(spans, key).where("start <= at and at < end").select(key, "name", "kind", "at", "ordinal")
