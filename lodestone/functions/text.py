@@ -61,6 +61,23 @@ def query_terms(text: Column | str) -> Column:
     return F.slice(F.array_distinct(all_terms(text)), 1, MAX_QUERY_TERMS)
 
 
+def marked(text: Column | str, terms: Column | str) -> Column:
+    """The text with every occurrence of a term, in any case, in brackets; as it is without terms."""
+    kept = F.filter(terms, lambda t: t != "")
+    longest = F.reverse(F.array_sort(F.transform(kept, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
+    pattern = F.concat(F.lit("(?i)("), F.array_join(F.transform(longest, lambda x: F.concat(F.lit("\\Q"), x["t"], F.lit("\\E"))), "|"), F.lit(")"))
+    return F.when(F.size(kept) > 0, F.regexp_replace(text, pattern, F.lit("[$1]"))).otherwise(F.col(text) if isinstance(text, str) else text)
+
+
+def node_hash(c: Column | str) -> Column:
+    """FNV-1a over the UTF-16 units of a text as a number in [0, 1)."""
+    raw = F.hex(F.encode(c, "UTF-16BE"))
+    unit = lambda i: F.conv(F.substr(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    units = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), (F.length(raw) / 4).cast("int") - 1), unit)).otherwise(F.array().cast("array<long>"))
+    step = lambda h, u: ((h.bitwiseXOR(u)) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(raw.isNotNull(), F.aggregate(units, F.lit(0x811C9DC5).cast("long"), step) / 2**32)
+
+
 def id_number(c: Column | str, kind: str = "[A-Z]") -> Column:
     """12 of ``D-12``; 0 if it is not an id."""
     return F.coalesce(F.regexp_extract(c, rf"^{kind}-([0-9]{{1,18}})$", 1).try_cast("long"), F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.functions.code import hash01, metadata_kind
+from lodestone.functions.code import metadata_kind
 from lodestone.operators import history as H
 from lodestone.plans.log_queries import EDITS, commits
 from lodestone.plans.registry import query, table
@@ -178,18 +178,14 @@ def x18(spark, sf):
     return e.select("event_id", F.when(F.col("m") < 60, n(1, " min later")).when(F.col("m") < 1440, n(60, " h later")).otherwise(n(1440, " days later")).alias("label"))
 
 
-@query("x7_node_hash")
-def x7(spark, sf):
-    """Places of nodes from their names, in Arrow batches."""
-    from collections.abc import Iterator
-
-    import pandas as pd
+FNV = "list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)), lambda a, u: (xor(a, u) * 16777619) & 4294967295::BIGINT)"
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(place=[hash01(v) for v in b["id"]])
 
-    return table(spark, sf, "documents").select(X.make_id("D", F.col("doc_id")).alias("id")).mapInPandas(task, "id string, place double")
+@query("x7_node_hash", sql=f"SELECT id, {FNV} / 4294967296.0::DOUBLE AS place FROM (SELECT 'D-' || doc_id AS id FROM documents)")
+def x7(spark, sf):
+    """Places of nodes from their names."""
+    ids = table(spark, sf, "documents").select(X.make_id("D", F.col("doc_id")).alias("id"))
+    return ids.select("id", X.node_hash("id").alias("place"))
 
 
 @query("g7_confident_first", sql="WITH s AS (SELECT conv_id AS query, turn AS key, length(text)::DOUBLE AS score FROM conversations), r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, key)) SELECT query, key, score >= 2 * coalesce(second, 0) AS confident FROM r WHERE rank = 1")

@@ -25,6 +25,17 @@ def t8(spark, sf):
     return whole.select("doc_id", ((F.col("first") == 0) & (F.col("longest") <= TARGET)).alias("enough"), "last_end")
 
 
+WORDS = "SELECT p_partkey, 0 AS ordinal, 0 AS start, 7 * 40 * p_size AS size FROM part WHERE p_size > 0"
+
+
+@query("t8_snapped_windows", sql=f"WITH RECURSIVE c AS ({WORDS} UNION ALL SELECT p_partkey, ordinal + 1, (start + {TARGET}) // 7 * 7 - {OVERLAP}, size FROM c WHERE size - start > {TARGET}) SELECT p_partkey, ordinal, start, CASE WHEN size - start > {TARGET} THEN (start + {TARGET}) // 7 * 7 ELSE size END AS \"end\" FROM c")
+def t8s(spark, sf):
+    """Windows over words of six letters end behind a space."""
+    text = F.repeat(F.lit("abcdef "), F.col("p_size").cast("int") * 40)
+    docs = table(spark, sf, "part").where("p_size > 0").select("p_partkey", text.alias("text"))
+    return chunks(docs, "p_partkey", "text", "text").select("p_partkey", "ordinal", "start", "end")
+
+
 @query("t4_html_chunks")
 def t4c(spark, sf):
     return chunks(table(spark, sf, "pages"), "page_id", "html", "html").orderBy("page_id", "ordinal")
@@ -94,7 +105,7 @@ def j7(spark, sf):
 
 @query("j9_marked_terms", sql="SELECT doc_id, md5(regexp_replace(text, '(?i)(der|the)', '[\\1]', 'g')) AS marked FROM documents")
 def j9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace("text", "(?i)(der|the)", "[$1]")).alias("marked"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.marked("text", F.array(F.lit("der"), F.lit("the")))).alias("marked"))
 
 
 @query("x19_board_snippet", sql=r"WITH p AS (SELECT doc_id, text, strpos(lower(text), 'licensed') AS at0 FROM documents) SELECT doc_id, CASE WHEN at0 > 61 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, greatest(at0 - 60, 1), at0 + 100 - greatest(at0 - 60, 1)), '\s+', ' ', 'g')) || CASE WHEN at0 + 100 <= length(text) THEN '…' ELSE '' END AS snippet FROM p WHERE at0 > 0")
