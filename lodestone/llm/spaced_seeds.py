@@ -91,28 +91,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     """doc_id, text_hash, item_id, doc_start, item_tokens, matched, best_window of each document that shares a passage with an item."""
     diagonals, items = hits(docs, benchmark)
     diagonals = cut(diagonals)
-    wanted = diagonals.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item", "shift")
+    # all diagonals of a pair in one row, so that a text is tokenised once for each item it meets, however often they meet
+    wanted = diagonals.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item").agg(F.collect_list("shift").alias("shifts"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    pairs = texts.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    pairs = texts.join(small_or_shuffled(wanted, at_most=diagonals), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # tokens are taken below the join with items: above it the optimiser would write them into the comparison of each token
-    pairs = pairs.select("doc_id", "text_hash", "item", "shift", token_hashes("text").alias("dh"))
+    pairs = pairs.select("doc_id", "text_hash", "item", "shifts", token_hashes("text").alias("dh"))
     laid = pairs.join(small_or_shuffled(items), "item")
-    same = F.transform("ih", lambda x, i: F.coalesce((F.when(i + F.col("shift") >= 0, F.get("dh", i + F.col("shift"))) == x).cast("int"), F.lit(0)))
-    laid = laid.select("doc_id", "text_hash", "item_id", "shift", same.alias("same"))
-    width = F.least(F.size("same"), F.lit(window))
-    sums = F.transform(F.sequence(F.lit(1), F.size("same") - width + 1), lambda j: F.aggregate(F.slice("same", j, width), F.lit(0), lambda a, b: a + b))
-    checked = laid.select(
-        "doc_id",
-        "text_hash",
-        "item_id",
-        F.greatest("shift", F.lit(0)).alias("doc_start"),
-        F.size("same").alias("item_tokens"),
-        F.aggregate("same", F.lit(0), lambda a, b: a + b).alias("matched"),
-        F.array_max(sums).alias("best_window"),
-        width.alias("_width"),
-    ).where(F.col("best_window") * 100 >= F.col("_width") * percent)
-    best = F.max(F.struct("matched", (-F.col("doc_start")).alias("_back"), "best_window", "item_tokens")).alias("_best")
-    chosen = checked.groupBy("doc_id", "text_hash", "item_id").agg(best)
+    width = F.least(F.size("ih"), F.lit(window))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
+
+    def judged(shift: Column) -> Column:
+        same = F.transform("ih", lambda x, i: F.coalesce((F.when(i + shift >= 0, F.get("dh", i + shift)) == x).cast("int"), F.lit(0)))
+
+        def of(s: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(1), F.size(s) - width + 1), lambda j: total(F.slice(s, j, width)))
+            return F.struct(total(s).alias("matched"), (-F.greatest(shift, F.lit(0))).alias("_back"), F.array_max(sums).alias("best_window"), F.size(s).alias("item_tokens"))
+
+        return F.get(F.transform(F.array(same), of), F.lit(0))  # ``same`` is worked out once and let go of
+
+    accepted = F.filter(F.transform("shifts", judged), lambda x: x["best_window"] * 100 >= width * percent)
+    checked = laid.select("doc_id", "text_hash", "item_id", F.array_max(accepted).alias("_one")).where("_one is not null")
+    chosen = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max("_one").alias("_best"))
     return chosen.select("doc_id", "text_hash", "item_id", (-F.col("_best._back")).cast("int").alias("doc_start"), "_best.item_tokens", "_best.matched", "_best.best_window")
 
 
