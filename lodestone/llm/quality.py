@@ -35,7 +35,9 @@ from lodestone.llm.common import small_or_shuffled
 
 BUCKETS, DIMENSIONS, NEIGHBOURS = 8_192, 64, 2
 SAMPLE, HIDDEN, ROUNDS = 8_000, 32, 40
-REMEMBERED, TOKENS_AT_ONCE = 500_000, 250_000
+REMEMBERED, TOKENS_AT_ONCE = 100_000, 250_000
+#: Tokens whose vectors are pooled at once: beside them lies a copy in double precision, 768 bytes a token.
+POOLED_AT_ONCE = 50_000
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 
@@ -70,14 +72,14 @@ def index_places(seed: int = 5) -> np.ndarray:
     return np.stack([plus, (plus + rng.integers(1, DIMENSIONS, BUCKETS)) % DIMENSIONS], axis=1)
 
 
-def _in_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+def _in_runs(batches: Iterator[pa.RecordBatch], column: int, most: int = POOLED_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     """Batches in pieces of bounded numbers of tokens: (batch, first row, buckets of each row)."""
     for batch in batches:
         held, first, n = [], 0, 0
         for i, text in enumerate(batch.column(column)):
             held.append(token_buckets(text.as_py() or ""))
             n += len(held[-1])
-            if n > TOKENS_AT_ONCE:
+            if n > most:
                 yield batch, first, held
                 held, first, n = [], i + 1, 0
         if held:
@@ -90,7 +92,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = index_places()
         total = np.zeros(BUCKETS * DIMENSIONS)
-        for _, _, held in _in_runs(batches, 0):
+        for _, _, held in _in_runs(batches, 0, TOKENS_AT_ONCE):
             # gaps between rows, so that no neighbour is of another row
             gap = np.full(NEIGHBOURS, -1)
             ids = np.concatenate([x for h in held for x in (h, gap)])
@@ -137,8 +139,8 @@ def pooled(held: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     """Mean vector and logarithm of the number of tokens of each document."""
     out = np.zeros((len(held), DIMENSIONS + 1))
     sizes = np.array([len(h) for h in held])
-    full = np.flatnonzero((sizes > 0) & (sizes <= TOKENS_AT_ONCE))
-    for i in np.flatnonzero(sizes > TOKENS_AT_ONCE):  # a very long text by the counts of its buckets
+    full = np.flatnonzero((sizes > 0) & (sizes <= POOLED_AT_ONCE))
+    for i in np.flatnonzero(sizes > POOLED_AT_ONCE):  # a very long text by the counts of its buckets
         out[i, :-1] = np.bincount(held[i], minlength=len(vectors)) @ vectors.astype(np.float64) / sizes[i]
     if len(full):
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])

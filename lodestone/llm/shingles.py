@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hash a worker remembers; the store is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class _WordHashes(dict):

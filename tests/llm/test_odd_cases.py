@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm.quality import BUCKETS, TOKENS_AT_ONCE, fit, pooled
+from lodestone.llm.quality import BUCKETS, POOLED_AT_ONCE, TOKENS_AT_ONCE, _in_runs, fit, pooled
 from lodestone.llm.threshold_topk import exact_topk
 
 ODD = ["_id", "_hash", "_size", "_text_hash", "_row", "_copies", "gone_id_", "gone_hash_", "text_hash_", "id_", "repeated_", "key", "set_id", "row", "label", "score", "_label", "item_id", "shift"]
@@ -72,3 +72,18 @@ def test_few_labels_and_long_texts_of_the_classifier():
     vectors = rng.normal(size=(BUCKETS, 64)).astype(np.float32)
     ids = rng.integers(0, BUCKETS, TOKENS_AT_ONCE + 5)
     assert np.allclose(pooled([ids[:7], ids], vectors)[1, :-1], vectors[ids].mean(axis=0, dtype=np.float64), atol=1e-6)
+    ids = rng.integers(0, BUCKETS, POOLED_AT_ONCE + 1)  # the least text that goes by the counts of its buckets
+    assert np.allclose(pooled([ids, ids[:-1]], vectors)[0, :-1], vectors[ids].mean(axis=0, dtype=np.float64), atol=1e-6)
+
+
+def test_pieces_of_any_size_hold_every_text_once():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b c d", None, "", "e " * 50, "f g", "h"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    whole = [h.tolist() for _, _, held in _in_runs(iter([batch]), 0) for h in held]
+    for most in (1, 3, 10, 1000):
+        pieces = list(_in_runs(iter([batch]), 0, most))
+        assert [h.tolist() for _, _, held in pieces for h in held] == whole
+        assert [first for _, first, _ in pieces] == np.cumsum([0] + [len(held) for _, _, held in pieces])[:-1].tolist()
