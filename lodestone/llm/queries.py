@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import code_switch, html_lines, lsh_forest, mixing, quality, secret_forest, sharding, spaced_seeds, threshold_topk, token_counts
+from lodestone.llm import byte_pairs, code_switch, html_lines, lsh_forest, mixing, quality, secret_forest, sharding, spaced_seeds, target_resampling, threshold_topk, token_counts, window_ranks
 
 QUERIES = {
     "op1_code_switch_language": code_switch.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_lsh_forest": lsh_forest.op8,
     "op9_prefix_token_counts": token_counts.op9,
     "op10_random_indexing_quality": quality.op10,
+    "op11_persistent_tree_windows": window_ranks.op11,
+    "op12_prefix_byte_pairs": byte_pairs.op12,
+    "op13_target_resampling": target_resampling.op13,
 }
 
 ORACLES = {
     "op5_threshold_topk": threshold_topk.OP5_SQL,
     "op6_spaced_seed_decontamination": spaced_seeds.oracle_sql(),
     "op7_mix_to_weights": mixing.OP7_SQL,
+    "op11_persistent_tree_windows": window_ranks.OP11_SQL,
+    "op13_target_resampling": target_resampling.OP13_SQL,
 }
