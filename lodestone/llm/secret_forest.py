@@ -16,7 +16,7 @@ Candidates are rare, so only they are exploded from their texts. The dictionary
 number of four-letter strings that words begin with, pre-aggregated before its shuffle.
 
 Defined cases: null and empty texts have no candidates; a null path counts as an ordinary one; a
-null ``doc_id`` is kept; repeated rows and repeated values each give their row; ties of the
+null ``doc_id`` is kept; a candidate may have any length, and costs time in proportion to it; repeated rows and repeated values each give their row; ties of the
 forest's mean at the threshold count as secret. An empty table gives an empty result. Other
 columns are ignored.
 """
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, small_or_shuffled
 
-CANDIDATE = r"(?:[A-Za-z0-9+/_]|-(?!-)){16,}={0,2}"
+#: 16 key characters and all that follow them; a hyphen counts unless another follows. The run is taken without going back,
+#: so that a match needs no stack, whatever its length.
+CANDIDATE = r"(?=(?:[A-Za-z0-9+/_]|-(?!-)){16})[A-Za-z0-9+/_]*+(?:-(?!-)[A-Za-z0-9+/_]*+)*+={0,2}"
 MIXED = r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"
 #: Fixed word lists of the context features.
 GIVES_KEYS = r"(?i)(token|secret|passw|pwd|api.?key|auth|credential|bearer|private|access.?key)"
@@ -41,6 +43,9 @@ GIVES_OTHERS = r"(?i)(sha|commit|hash|uuid|guid|checksum|digest|example|version|
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|vendor|docs?/|\.md$|lock$)"
 PLACEHOLDER = r"(?i)(x{4}|example|sample|changeme|placeholder|your|dummy|1234567|abcdef|0{6})"
 FEATURES = ("length", "changes", "digits", "variety", "coverage", "capitals", "hex", "placeholder", "test_path", "keyword", "other_word", "slashes")
+KEY_CHARACTERS = string.ascii_letters + string.digits + "+/_-="
+#: Bytes of a value whose pieces are looked up as one row.
+BLOCK = 4_096
 #: A beginning counts if it occurs so often, and so often in this many words, however large the corpus.
 LEAST_COUNT, IN_WORDS, PIECE = 3, 1 << 20, 4
 TREES, DEPTH, LEAST_LEAF, MOST_FINDINGS = 15, 5, 5, 4_000
@@ -101,9 +106,9 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     rows = words.select("doc_id", "path", F.explode_outer(found).alias("_c")).where("_c is not null").select("doc_id", "path", "_c.*")
     # key and value in one word, as in password=..., are context and candidate
     values = F.filter(F.regexp_extract_all("whole", F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike(MIXED))
-    rows = rows.select("doc_id", "path", "word", "whole", "before", "after", F.explode_outer(values).alias("value")).where("value is not null")
     head = F.regexp_extract("whole", rf"^(.*?){CANDIDATE}", 1)
-    return rows.select("doc_id", "path", "word", "value", F.concat_ws(" ", "before", head).alias("before"), "after")
+    rows = rows.select("doc_id", "path", "word", F.concat_ws(" ", "before", head).alias("before"), "after", values.alias("values"))
+    return rows.select("doc_id", "path", "word", F.explode_outer("values").alias("value"), "before", "after").where("value is not null")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -117,25 +122,31 @@ def dictionary(docs: DataFrame) -> DataFrame:
 def with_features(found: DataFrame, pieces: DataFrame) -> DataFrame:
     """``found`` (value, path, before, after, ...) with the columns of ``FEATURES``."""
     v = F.col("value")
-    values = found.select("value").distinct()
-    places = F.sequence(F.lit(1), F.greatest(F.length("value") - PIECE + 1, F.lit(1)))
-    parts = values.select("value", F.explode(F.transform(places, lambda i: F.lower(F.substr(F.col("value"), i, F.lit(PIECE))))).alias("_piece"))
+    # values are named by their digest, and cut into blocks, so that no row carries a long value once for each of its places
+    name = lambda c: F.sha2(c.cast("binary"), 256)
+    raw = F.col("value").cast("binary")
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("value") - PIECE + 1, F.lit(1)), F.lit(BLOCK))
+    blocks = found.select("value").distinct().select(name(v).alias("_value"), F.explode(F.transform(starts, lambda i: F.substr(raw, i, F.lit(BLOCK + PIECE - 1)))).alias("_block"))
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length("_block") - PIECE + 1, F.lit(1)))
+    parts = blocks.select("_value", F.explode(F.transform(places, lambda i: F.lower(F.substr(F.col("_block"), i, F.lit(PIECE)).cast("string")))).alias("_piece"))
     known = parts.join(small_or_shuffled(pieces), F.col("_piece") == F.col("piece"), "left")
-    coverage = known.groupBy(F.col("value").alias("_value")).agg(F.avg(F.col("piece").isNotNull().cast("int")).alias("coverage"))
+    coverage = known.groupBy("_value").agg(F.avg(F.col("piece").isNotNull().cast("int")).alias("coverage"))
     size = F.length("value").cast("double")
     flag = lambda c: c.cast("double")
-    return found.join(small_or_shuffled(cut(coverage)), v == F.col("_value")).drop("_value").withColumns({
+    of = lambda letters: (F.length(v) - F.length(F.translate(v, letters, ""))) / size
+    changes = F.length(v) - F.length(F.regexp_replace(v, r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])", ""))
+    return found.join(small_or_shuffled(cut(coverage)), name(v) == F.col("_value")).drop("_value").withColumns({
         "length": size,
-        "changes": F.regexp_count(v, F.lit(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])")) / size,
-        "digits": F.regexp_count(v, F.lit("[0-9]")) / size,
-        "variety": F.size(F.array_distinct(F.split(v, ""))) / size,
-        "capitals": F.regexp_count(v, F.lit("[A-Z]")) / size,
+        "changes": changes / size,
+        "digits": of(string.digits),
+        "variety": sum((F.contains(v, F.lit(c)).cast("int") for c in KEY_CHARACTERS), F.lit(0)) / size,
+        "capitals": of(string.ascii_uppercase),
         "hex": flag(v.rlike("^[0-9a-fA-F-]+$")),
         "placeholder": flag(v.rlike(PLACEHOLDER)),
         "test_path": flag(F.coalesce(F.col("path"), F.lit("")).rlike(TEST_PATH)),
         "keyword": flag(F.col("before").rlike(GIVES_KEYS)),
         "other_word": flag(F.concat_ws(" ", "before", "after").rlike(GIVES_OTHERS)),
-        "slashes": F.regexp_count(v, F.lit("[/_-]")) / size,
+        "slashes": of("/_-"),
     })
 
 

@@ -62,3 +62,44 @@ def test_own_findings(spark):
     own = spark.createDataFrame([("a1" * 10, None, "", "", 1), ("b" * 20 + "1", "docs/x", "", "", 0)] * 20, "value string, path string, before string, after string, label int")
     scored = S.scan(docs(spark), own)
     assert scored.where(F.col("score").between(0, 1)).count() == scored.count() > 0
+
+
+def features_by_hand(value, path, before, after, pieces):
+    n = len(value)
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+    grams = [value[i : i + 4].lower() for i in range(max(n - 3, 1))]
+    found = lambda p, s: float(bool(re.search(p, s)))
+    changes = sum(kind(a) != kind(b) for a, b in zip(value, value[1:], strict=False))
+    count = lambda s: sum(c in s for c in value) / n
+    return [
+        n, changes / n, count("0123456789"), len(set(value)) / n, sum(g in pieces for g in grams) / len(grams), sum(c.isupper() for c in value) / n,
+        found("^[0-9a-fA-F-]+$", value), found(S.PLACEHOLDER, value), found(S.TEST_PATH, path or ""), found(S.GIVES_KEYS, before), found(S.GIVES_OTHERS, f"{before} {after}"), count("/_-"),
+    ]
+
+
+def test_features_match_brute_force(spark):
+    frame = docs(spark)
+    pieces = S.dictionary(frame).cache()
+    known = {r.piece for r in pieces.collect()}
+    rows = S.with_features(S.candidates(frame), pieces).collect() + S.with_features(S.labelled_findings(spark, 300), pieces).collect()
+    for r in rows:
+        assert np.allclose([r[f] for f in S.FEATURES], features_by_hand(r.value, r.path, r.before, r.after, known)), r.value
+    assert len(rows) > 250
+
+
+def test_candidates_of_any_length(spark):
+    """Neither the stack nor the square of the length: a data URI, a run with hyphens, and one of five million characters."""
+    import base64
+    import random
+
+    raw = base64.b64encode(random.Random(3).randbytes(3_750_000)).decode()
+    hyphens = "-".join(["a1b2c3"] * 20_000)
+    rows = [(1, f"see data:image/png;base64,{raw} end", "web"), (2, f"id {hyphens} x--{'q9' * 1500}--y", "web"), (3, "-----BEGIN KEY-----\n" + "\n".join([raw[:64]] * 50), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.value) for r in S.scan(frame).select("doc_id", "value").collect()}
+    assert got == {(1, raw), (2, hyphens), (2, "-" + "q9" * 1500), (3, raw[:64])}
+
+
+def test_ties_at_the_threshold_count_as_secret(spark):
+    got = S.scan(docs(spark), docs(spark).sparkSession.createDataFrame([], "value string, path string, before string, after string, label int")).collect()
+    assert got and all(r.score == 0.5 and r.is_secret for r in got)
