@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 #: Runs between single spaces, and pieces of the pattern, that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Pairs of tokens whose verdict is remembered, as a power of two; an entry gives way to the next pair of its slot.
 PAIR_SLOTS = 20
 #: Bytes of a piece up to which pieces are encoded side by side; a longer one is encoded alone.
@@ -47,7 +47,7 @@ SIDE_BY_SIDE = 1024
 #: A single space with something but white space on both sides.
 SAFE = r"(?<=\S)(?= \S)"
 #: Bytes of text that are encoded before their ids are handed on.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 NEVER = 1 << 40
 
@@ -138,10 +138,14 @@ class PairEncoder:
                         token_at.append(-1)
                     node = children[node][byte]
                 token_at[node] = i
-        self.children = np.zeros((len(children), 256), np.int32)
-        for node, below in enumerate(children):
-            self.children[node, list(below)] = list(below.values())
-        self.token_at = np.array(token_at, np.int64)
+        # inner nodes first, so that all leaves share one empty row
+        order = sorted(range(len(children)), key=lambda k: not children[k])
+        place = {node: k for k, node in enumerate(order)}
+        self.inner = sum(map(bool, children))
+        self.children = np.zeros((self.inner + 1, 256), np.int32)
+        for node in order[: self.inner]:
+            self.children[place[node], list(children[node])] = [place[x] for x in children[node].values()]
+        self.token_at = np.array(token_at, np.int64)[order]
 
     def compare_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether two tokens stay as they are when their bytes stand side by side.
@@ -190,7 +194,7 @@ class PairEncoder:
         start, node, found = np.arange(len(raw)), np.zeros(len(raw), np.int32), []
         depth = 0
         while len(start):
-            node = self.children[node, raw[start + depth]]
+            node = self.children[np.minimum(node, self.inner), raw[start + depth]]
             start, node = start[node > 0], node[node > 0]
             depth += 1
             token = self.token_at[node]
@@ -385,22 +389,39 @@ def _parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
     yield batch.slice(begin)
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, column: str = "text") -> DataFrame:
-    """doc_id, ids (the token ids of the whole text) for every row. ``vocabulary``: path of a rank file."""
+def _ids(texts: pa.Array, encode) -> pa.ListArray:
+    found = encode([t or "" for t in texts.to_pylist()])
+    offsets = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int64)
+    flat = b"".join(found)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
+
+
+def _bytes(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    flat = tokens.take(ids.flatten()).fill_null(b"")
+    counts = np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]
+    ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
+    bounds = (ends - ends[0])[counts]
+    data = flat.buffers()[2].slice(int(ends[0])) if len(flat) else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), data])
+
+
+def encoded(docs: DataFrame, vocabulary: str | None = None, column: str = "text", with_bytes: bool = False) -> DataFrame:
+    """doc_id, ids (the token ids of the whole text) for every row. ``vocabulary``: path of a rank file.
+
+    ``with_bytes``: also what the ids decode to, as :func:`decoded` gives it, in the same pass.
+    """
     path, pattern = _named(vocabulary)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_batch
+        encode, tokens = encoder(path, pattern).encode_batch, token_table(path) if with_bytes else None
         for whole in batches:
             for batch in _parts(whole, pc.binary_length(whole.column(1))):
-                found = encode([t or "" for t in batch.column(1).to_pylist()])
-                offsets = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int64)
-                flat = b"".join(found)
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+                ids = _ids(batch.column(1), encode)
+                more = [_bytes(ids, tokens)] if with_bytes else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, *more], names=["doc_id", "ids", "bytes"][: 2 + with_bytes])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(task, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(task, f"doc_id {kind}, ids array<int>" + ", bytes binary" * with_bytes)
 
 
 def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -411,21 +432,14 @@ def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
         tokens = token_table(path)
         for whole in batches:
             for batch in _parts(whole, pc.multiply(pc.list_value_length(whole.column(1)), 4)):
-                ids = batch.column(1)
-                flat = tokens.take(ids.flatten()).fill_null(b"")
-                counts = np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]
-                ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
-                bounds = (ends - ends[0])[counts]
-                data = flat.buffers()[2].slice(int(ends[0])) if len(flat) else pa.py_buffer(b"")
-                joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, joined], names=["doc_id", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(batch.column(1), tokens)], names=["doc_id", "ids", "bytes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(task, f"doc_id {kind}, ids array<int>, bytes binary")
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
-    rows = decoded(encoded(table(spark, sf_dir, "documents")))
+    rows = encoded(table(spark, sf_dir, "documents"), with_bytes=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
