@@ -11,6 +11,7 @@ from lodestone.config import FIELD_WEIGHTS
 from lodestone.functions import text as X
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
+from lodestone.operators import segments as G
 from lodestone.operators.common import shared_folder
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
@@ -46,6 +47,31 @@ def z3(spark, sf):
     return _ten(I.search(spark, path, "doc_id", asked(spark, sf)))
 
 
+LIVING = S.bm25().replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 3)", 1)
+
+
+@query("z3_index_revised", sql=f"WITH {LIVING} {TEN}")
+def z3_revised(spark, sf):
+    """An index of other versions of two thirds of the documents and of some that are no more, brought up to date, a part forgotten, tails merged."""
+    docs, path = table(spark, sf, "documents").select("doc_id", "text"), _place(spark, "index")
+    first = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.lower("text")).when(F.col("doc_id") % 5 == 2, F.lit("an earlier version")).otherwise(F.col("text")))
+    strangers = docs.where("doc_id % 11 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    G.sync(first.unionByName(strangers), "doc_id", BODY, path)
+    G.sync(docs, "doc_id", BODY, path)
+    G.forget(spark, path, docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("key")))
+    G.merge_tail(spark, path, most=2)
+    return _ten(G.search(spark, path, "doc_id", asked(spark, sf)))
+
+
+@query("w9_forgotten_in_index", sql=f"WITH t AS (SELECT doc_id, len({S.terms('text')}) AS l FROM documents) SELECT count(*) AS n, sum(l)::BIGINT AS total, count(*) FILTER (l = 0) AS empty FROM t WHERE doc_id % 7 <> 3")
+def w9_index(spark, sf):
+    """What the index holds after documents were forgotten, from its own rows."""
+    docs, path = table(spark, sf, "documents").select("doc_id", "text"), _place(spark, "index")
+    G.sync(docs, "doc_id", BODY, path)
+    G.forget(spark, path, docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("key")))
+    return G.documents(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"), F.count_if(F.col("len") == 0).alias("empty"))
+
+
 FIELDS = f"list_concat({', '.join([S.terms('source')] * FIELD_WEIGHTS['title'] + [S.terms('lang')] * FIELD_WEIGHTS['context'] + [S.terms('text')])})"
 
 
