@@ -7,11 +7,15 @@ deleted by the target later on, some are created by branch 1, by the target, or
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import merging as M
 from lodestone.operators import shifts as S
-from lodestone.operators.common import cut
+from lodestone.operators import snapshots as N
+from lodestone.operators.common import cut, shared_folder
 from lodestone.plans.log_queries import EDITS, commits
 from lodestone.plans.registry import query, table
 
@@ -118,3 +122,17 @@ TAGS = EDITS.replace("[]::VARCHAR[] AS lines", "[]::BIGINT[] AS lines").replace(
 def h4_scan(spark, sf):
     """Which edit wrote each line, out of the map of the whole log."""
     return S.blamed(S.line_sources(commits(spark, sf), edits_a_run=64))
+
+
+@query("h15_healed_snapshots", sql=f"WITH RECURSIVE {EDITS} SELECT file, len(lines)::INT AS n, array_to_string(lines, chr(10)) AS text, op <> 'delete' AS existing, (SELECT count(DISTINCT user_id) FILTER (user_id % 3 = 0) FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)) AS remade, 0::BIGINT AS remade_again FROM rp QUALIFY row_number() OVER (PARTITION BY file ORDER BY i DESC) = 1")
+def h15(spark, sf):
+    """Snapshots half way, a third of them damaged; replay finds and remakes those, and the next one finds none."""
+    path = os.path.join(shared_folder(spark), f"snapshots-{uuid.uuid4().hex}")
+    edits = cut(commits(spark, sf).select("file", "pos", *N.EDIT))
+    half = (edits.agg(F.max("pos")).first()[0] or 0) // 2
+    snapshots = N.taken(edits, half)
+    N.keep(snapshots.withColumn("lines", F.when(F.col("file") % 3 == 0, F.concat("lines", F.array(F.lit("damage")))).otherwise(F.col("lines"))), path)
+    states, remade = N.replayed_from(edits, path)
+    states, (_, again) = cut(states), N.replayed_from(edits, path)
+    count = lambda n, name: F.lit(n).cast("long").alias(name)
+    return states.select("file", F.size("lines").alias("n"), F.concat_ws("\n", "lines").alias("text"), "existing", count(remade, "remade"), count(again, "remade_again"))
