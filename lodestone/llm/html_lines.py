@@ -12,6 +12,10 @@ rise from nothing a passage begins, and where they fall back to nothing is its d
 if some sum reaches ``SURGE`` of the page's highest sum. The text is what stands in passages that surge; passages that
 never do are dropped. At both ends of a passage outside articles, lines that are mainly links are cut off.
 
+In an article the names of headings, paragraphs, list items and tables count for nothing (site generators make ids from
+the text of headings), and a name of several parts counts by its last one, so that a section on related work or a
+commentary stays.
+
 In a page without articles a form, or an element dropped for its class or id, that holds nearly all of the
 text wraps the page and is not dropped.
 
@@ -52,8 +56,15 @@ _NOT_TEXT = _DROPPED - {"form"} | {"a"}
 _ENDED_BY_BLOCK = frozenset("p li dt dd option td th tr".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset("nav navbar menu header masthead topbar footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login search comment comments commentlist respond disqus replies discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar skip teaser disclaimer paywall cta".split())
-_STARTS = ("comment", "advert", "adsby", "sidebar", "cookie", "newsletter", "footer", "navbar", "navigation", "sponsor", "breadcrumb", "disqus", "promo")
+#: Words of one part that begin so, and last parts that end so, name such an element too.
+_STARTS = ("advert", "adsby", "sidebar", "cookie", "newsletter", "navbar", "breadcrumb", "disqus", "commentlist")
 _ENDS = ("nav", "menu", "sidebar", "footer", "comments", "advert", "banner")
+#: A first part from ``_NAMES`` or these says what an element is only before a last part that names a mere holder: "share-buttons", not "share-price".
+_FIRST = frozenset("footer comment cookie adverts navigation".split())
+_HOLDERS = frozenset("list box block container wrapper wrap section area bar link links item items inner row button buttons icon icons post posts articles stories panel unit slot zone thread count form banner title heading message text holder group grid module".split())
+#: Elements that are text themselves; in an article their names are those of headings and paragraphs, not of parts of the page.
+_TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figure figcaption table tr td th caption tbody thead span".split())
+_OF_ARTICLE = frozenset("entry article post story".split())
 #: Of several articles those count that are at least this share of the longest.
 ARTICLE_SHARE = 0.5
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
@@ -73,11 +84,19 @@ def _boilerplate(name: str, attributes: str, in_content: bool, named: bool = Tru
         if key == "role" and value.lower() in _ROLES:
             return True
         if named and key in ("class", "id"):
+            if in_content and name in _TEXT_LEVEL:
+                continue
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
+                if not parts:
+                    continue
+                first, last = parts[0], parts[-1]
                 # the last part says what it is: "page-footer" is a footer, "footer-free" is not
-                if parts and (parts[-1] in _NAMES or parts[0].startswith(_STARTS) or parts[-1].endswith(_ENDS) or len(parts) > 1 and parts[0] in ("ad", "ads", "nav", "menu", "social", "share", "related", "cookie", "teaser")):
-                    return not (parts[-1] in ("header", "discussion") and in_content)
+                named_so = last in _NAMES or last.endswith(_ENDS) or len(parts) == 1 and last.startswith(_STARTS)
+                named_so = named_so or len(parts) > 1 and last in _HOLDERS and (first in _NAMES or first in _FIRST)
+                heads_article = last == "header" and (in_content or first in _OF_ARTICLE)
+                if named_so and not heads_article and not (last == "discussion" and in_content):
+                    return True
     return False
 
 

@@ -179,3 +179,16 @@ def test_masks_meet_every_accepted_passage(spark):
             docs.append((1000 * size + n, "before " + " ".join("zzz" if i in changed else w for i, w in enumerate(text.split())) + " after"))
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, d // 1000) for d, _ in docs}
+
+
+def test_names_of_article_text_do_not_drop_it():
+    from lodestone.llm.html_lines import main_text
+
+    filler = "".join(f"<p>Paragraph number {i} of the article says something of fair length.</p>" for i in range(6))
+    kept = ['<h2 id="search">A heading</h2>', '<h2 id="sharing">A heading</h2>', '<h3 id="comments">A heading</h3>', '<h2 id="promotion">A heading</h2>', '<ul><li id="menu">A heading</li></ul>',
+            '<section class="related-work"><p>A heading</p></section>', '<section class="commentary"><p>A heading</p></section>', '<div class="share-price"><p>A heading</p></div>', '<p class="notice">A heading</p>', '<p class="sponsorship-history">A heading</p>', '<div class="entry-header"><h1>A heading</h1></div>']
+    for part in kept:
+        assert "A heading" in main_text(f"<body><nav><a href=/>Home</a></nav><article>{filler}{part}{filler}</article></body>"), part
+    assert "A heading" in main_text(f'<body><div class="entry-header"><h1>A heading</h1></div><div>{filler}</div></body>')
+    for part in ('<div class="share-buttons">Share it</div>', '<section class="comments">Share it</section>', '<div id="related-posts">Share it</div>', '<div class="ad">Share it</div>', '<ul class="social-links"><li>Share it</ul>', '<div class="comments-area">Share it</div>', '<div class="page-footer">Share it</div>', '<aside>Share it</aside>', '<ins class="adsbygoogle">Share it</ins>', '<div class="cookie-banner">Share it</div>'):
+        assert "Share it" not in main_text(f"<body><article>{filler}{part}{filler}</article></body>"), part
