@@ -16,7 +16,7 @@ from lodestone.operators.common import shared_folder
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
 from lodestone.plans.retrieval_queries import BODY, DEPTH, K, VEC, asked, vector_list
-from lodestone.plans.search import weighted_by_shape
+from lodestone.plans.search import hybrid_search, weighted_by_shape
 
 TEN = f"SELECT query, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({S.ranked('bm', K)})"
 
@@ -105,3 +105,17 @@ def o3w(spark, sf):
 def t2c(spark, sf):
     """The terms that an index counts, in order."""
     return table(spark, sf, "documents").where(F.size(X.counted_terms("text")) > 0).select("doc_id", F.array_join(F.array_sort(X.counted_terms("text")), " ").alias("terms"))
+
+
+PLAIN = WEIGHTS.replace(SHAPED, "text")
+
+
+@query("g8_hybrid_by_index", sql=f"WITH {S.bm25()}, {PLAIN}, {VEC}, kw AS ({S.ranked('bm', DEPTH)}), sem AS ({S.ranked('vs', DEPTH)}), lists AS (SELECT query, 0 AS list_no, rank, doc_id, score FROM kw UNION ALL SELECT query, 1, rank, doc_id, score FROM sem), mm AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM lists WINDOW w AS (PARTITION BY query, list_no)), f AS (SELECT query, doc_id, sum(s * CASE list_no WHEN 0 THEN 1 - wt ELSE wt END) AS score, min({{'l': list_no, 'r': rank}}) AS first, array_to_string(list_sort(list_distinct(list(CASE list_no WHEN 0 THEN 'keyword' ELSE 'semantic' END))), ',') AS matched FROM mm JOIN wts USING (query) GROUP BY query, doc_id), best AS (SELECT query, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first.l, first.r, doc_id))::INT AS rank, matched FROM f QUALIFY rank <= 10) SELECT * FROM best WHERE doc_id IN (SELECT doc_id FROM documents)")
+def g8_index(spark, sf):
+    """The whole of a hybrid search, its keyword list from a stored index: the ten best of every item."""
+    docs, path = table(spark, sf, "documents"), _place(spark, "index")
+    G.sync(docs.select("doc_id", "text"), "doc_id", BODY, path)
+    e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    items = asked(spark, sf).join(e, F.col("doc_id") == F.col("query"), "left").select("query", "text", F.col("embedding").alias("qv"))
+    found = hybrid_search(docs, "doc_id", "text", e, "embedding", items, index=path)
+    return found.select("query", "doc_id", R.rounded("score").alias("score"), "rank", "matched")

@@ -9,6 +9,7 @@ from lodestone.config import DEFAULT_K, MAX_K, SEMANTIC_WEIGHT, SEMANTIC_WEIGHT_
 from lodestone.functions.snippet import snippets
 from lodestone.functions.text import identifier_shaped, query_terms
 from lodestone.operators import retrieval as R
+from lodestone.operators import segments
 from lodestone.operators.common import bounded
 
 
@@ -31,17 +32,24 @@ def hybrid_search(
     fusion: str = "score",
     keep: Column | None = None,
     fields: dict[str, int] | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """query, key, rank, score, matched, snippet for ``queries`` (query, text, qv or null).
 
     Lists are cut to max(3k, 50) before they are fused. Without vectors, or for queries without
     one, the keyword list alone decides. Statistics are the corpus's whatever ``keep`` leaves out.
     ``fields`` weighs columns in the keyword list (the text alone by default); without
-    ``semantic_weight`` the query's shape decides it.
+    ``semantic_weight`` the query's shape decides it. With ``index``, the folder of a stored index of ``docs``
+    (``operators.segments``), the keyword list is read from there and no text is tokenised.
     """
     k = min(max(k, 1), MAX_K)
     depth = max(3 * k, 50)
-    kw = R.top_k(R.bm25(docs, key, fields or {text: 1}, queries.select("query", "text"), keep=keep), depth, "query", key)
+    asked_for = queries.select("query", "text")
+    if index is None:
+        found = R.bm25(docs, key, fields or {text: 1}, asked_for, keep=keep)
+    else:
+        found = segments.search(docs.sparkSession, index, key, asked_for, keep=None if keep is None else docs.where(keep).select(key))
+    kw = R.top_k(found, depth, "query", key)
     lists = kw.select("query", F.lit(0).alias("list_no"), "rank", key, "score")
     if vectors is not None:
         alive = vectors if keep is None else vectors.join(docs.where(keep).select(key), key, "left_semi")
