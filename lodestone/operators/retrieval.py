@@ -143,11 +143,14 @@ def vector_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
                 continue
             scores = np.array(rows[vector].tolist(), dtype=np.float64) @ q.T
             keys = rows[key].to_numpy()
-            most = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else None
-            for j, name in enumerate(names):
-                kept = np.arange(len(scores)) if most is None else np.flatnonzero(scores[:, j] >= most[j])
-                best = kept[np.lexsort((keys[kept], -scores[kept, j]))[:k]]
-                yield pd.DataFrame({"query": name, key: keys[best], "score": scores[best, j]})
+            # each query's rows at or above its kth score, all queries in one frame, the k best of each kept
+            reached = np.ones(scores.shape, bool) if len(scores) <= k else scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+            of, row = np.nonzero(reached.T)
+            order = np.lexsort((keys[row], -scores[row, of], of))
+            of, row = of[order], row[order]
+            first = np.arange(len(of)) - np.searchsorted(of, of) < k
+            of, row = of[first], row[first]
+            yield pd.DataFrame({"query": names[of], key: keys[row], "score": scores[row, of]})
 
     kind = vectors.schema[key].dataType.simpleString()
     part = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(task, f"query long, {key} {kind}, score double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import retrieval as R
-from lodestone.operators.common import is_small
+from lodestone.operators.common import bounded, is_small
 from lodestone.plans import sqltext as S
 from lodestone.plans.registry import query, table
 
@@ -26,7 +26,7 @@ def keyword_list(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
 def vector_list(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
     """Documents with a vector (vec_id = doc_id), nearest to the vector numbered like the item."""
     e = table(spark, sf, "embeddings")
-    q = e.join(F.broadcast(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("embedding").alias("qv"))
+    q = e.join(bounded(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("embedding").alias("qv"))
     return R.vector_scores(e.withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", q, k)
 
 
@@ -96,7 +96,7 @@ def g1(spark, sf):
 def g2(spark, sf):
     e = table(spark, sf, "embeddings")
     z = R.quantised(e, "embedding").select(F.col("vec_id").alias("doc_id"), F.transform("q", lambda x: x * F.col("scale")).alias("v"))
-    q = e.join(F.broadcast(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("embedding").alias("qv"))
+    q = e.join(bounded(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("embedding").alias("qv"))
     return R.vector_scores(z, "doc_id", "v", q, K).select("query", "doc_id", R.rounded("score").alias("score"), "rank")
 
 
