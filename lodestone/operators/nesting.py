@@ -28,7 +28,9 @@ def _count(c: Column, letters: str) -> Column:
 
 def lines_with_depth(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n, line, size (bytes with the newline), at (byte it begins at), before, after (depths), low (brackets that close more than is open), brackets."""
-    lines = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"), F.size(F.split(text, "\n")).alias("_n"))
+    # counted before the lines are exploded, so that no line carries the text along
+    whole = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, F.split(text, "\n").alias("_lines")).withColumn("_n", F.size("_lines"))
+    lines = whole.select(key, "_n", F.posexplode("_lines").alias("n", "line"))
     lines = lines.where((F.col("line") != "") | (F.col("n") < F.col("_n") - 1)).withColumn("size", F.octet_length("line").cast("long") + (F.col("n") < F.col("_n") - 1).cast("long"))
     order = Window.partitionBy(key).orderBy("n")
     upto, past = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)

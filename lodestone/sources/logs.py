@@ -19,8 +19,10 @@ BOARD = f"op string, item struct<{ITEM.replace(' ', ':').replace(',:', ',')}>, t
 
 def framed(spark: SparkSession, path: str) -> DataFrame:
     """file, pos, line, complete of the lines of each log file; only the last line can be incomplete."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"), F.size(F.split("value", "\n")).alias("_n")).where("line <> ''").select("file", "pos", "line", (F.col("pos") < F.col("_n") - 1).alias("complete"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("_lines"))
+    # counted before the lines are exploded, so that no line carries the file along
+    lines = files.withColumn("_n", F.size("_lines")).select("file", "_n", F.posexplode("_lines").alias("pos", "line"))
+    return lines.where("line <> ''").select("file", "pos", "line", (F.col("pos") < F.col("_n") - 1).alias("complete"))
 
 
 def records(lines: DataFrame, schema: str) -> DataFrame:
