@@ -13,8 +13,9 @@ Law: ``rows``. Counts of shards differ by one at most. A source of a third of al
 over all its hash ranges. Text never enters a shuffle: size and checksum are taken at the scan.
 
 Defined cases: a null source is a source of its own; a null text has size 16 and the checksum of
-an empty text; null and repeated ``doc_id`` are placed like others, ties in the seeded order going
-to checksum, then size; rows equal in all three are interchangeable. An empty table gives an empty
+an empty text; null and repeated ``doc_id`` are placed like others, since the seeded order is that of a
+hash of id, checksum and size, so that texts without ids spread over all ranges; rows equal in all three are
+interchangeable (and, within a source, sorted by one task). An empty table gives an empty
 result. Other columns are ignored.
 """
 
@@ -34,12 +35,13 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: str = "interleave")
     n_rows = docs.count()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-n_rows // ROWS_PER_RANGE)))
     body = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    size, checksum = F.octet_length(body).cast("long") + 16, F.crc32(body)
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), checksum.cast("string"), size.cast("string")))
     rows = docs.select(
         F.col("doc_id"),
         F.col("source"),
-        (F.octet_length(body).cast("long") + 16).alias("size"),
-        F.crc32(body).alias("text_crc32"),
+        size.alias("size"),
+        checksum.alias("text_crc32"),
         key.alias("_key"),
     ).withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges, 32))
 
