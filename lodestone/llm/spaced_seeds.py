@@ -12,7 +12,8 @@ Built-in expressions only. The hashes of items are broadcast when they were coun
 joined by shuffle else; texts stay in place for that. Documents with hits are read again for the
 check; a passage that very many documents share gives one row for each of them and nothing more.
 
-Tokens are runs of letters and digits, lower-cased; a text written without spaces is thus few tokens.
+Tokens are runs of letters and digits, lower-cased; of scripts that set no spaces between words, each letter
+is a token, so that masks and windows there lie over single letters.
 Items of fewer than ``WINDOW`` tokens have masks by their length, so that those of one token can be hit
 too. Defined cases: null and empty texts on either side have no tokens; a null
 ``doc_id`` or ``item_id`` is kept as it is; repeated documents and repeated items give the same rows
@@ -36,6 +37,8 @@ MORE_MASKS = ("1110111",)
 WINDOW, PERCENT = 12, 80
 #: Hashes of items (three numbers each, some 60 MB in all) that are broadcast at most; beyond that the join is by shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Scripts without spaces between words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 
 
 def masks_of(size: int) -> tuple[str, ...]:
@@ -52,7 +55,9 @@ def masks_of(size: int) -> tuple[str, ...]:
 
 
 def token_hashes(text: str) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    letter, low = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "]", F.lower(text)
+    apart = F.when(low.rlike(letter), F.regexp_replace(low, f"({letter})", " $1 ")).otherwise(low)
+    words = F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -128,7 +133,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same pairs by laying every document against every item on all diagonals with enough equal tokens; it knows nothing of masks."""
-    tokens = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    scripts = "".join(rf"\p{{{s}}}" for s in UNSPACED)
+    tokens = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '([{scripts}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""
 WITH d AS (SELECT doc_id, {tokens} AS w FROM documents), i AS (SELECT DISTINCT item_id, {tokens} AS w FROM benchmark),
 dt AS (SELECT doc_id, len(w)::INT AS doc_tokens, unnest(w) AS t, unnest(range(len(w)))::INT AS p FROM d),

@@ -168,6 +168,19 @@ def test_contamination_matches_brute_force(spark):
     assert contaminated(frame.limit(0), bench).count() == contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_passages_in_scripts_without_spaces(spark):
+    item = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。"
+    changed = item.replace("猫", "犬").replace("見", "味")
+    thai = "ประเทศไทยมีชื่ออย่างเป็นทางการว่าราชอาณาจักรไทย"
+    docs = [(1, "前置きの文章" + item + "後に続く文"), (2, "これは" + changed + "です"), (3, "全く別の内容を持つ文章である。" * 9), (4, "Prose, " + item[:14] + " and more prose"), (5, "คำนำ" + thai + "ต่อ"), (6, "ラーメン"), (7, None), (8, "x" + item[:6] + "y")]
+    items = [(10, item), (11, thai), (12, "ラーメン")]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): r for r in got}
+    assert set(found) == {(1, 10), (2, 10), (4, 10), (5, 11), (6, 12)}
+    assert found[1, 10].matched == found[1, 10].item_tokens == sum(c.isalpha() for c in item) and found[1, 10].doc_start == 6
+    assert found[2, 10].matched == found[1, 10].matched - 2 and found[4, 10].best_window == WINDOW
+
+
 def test_masks_meet_every_accepted_passage(spark):
     for size in range(1, WINDOW + 1):
         for changed in combinations(range(size), size * (100 - PERCENT) // 100):
