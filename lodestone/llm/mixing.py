@@ -5,15 +5,19 @@ never above ``most`` times what the source has: the excess is reshared by weight
 is above its limit (water-filling, solved in closed form over the sources in the order of
 limit / weight). The repetition rate of a source is target / words. A document is emitted
 floor(rate) times, and once more when its own hash-seeded number in [0, 1) is under the rate's
-fraction. Runs agree: the number depends on seed, ``doc_id`` and text alone.
+fraction. Runs agree: the number depends on seed, ``doc_id`` and text, and for rows that repeat
+both within a source on their number among these, so that a thousand equal rows draw a thousand
+times. How many of them get a copy follows from how many there are; where they differ in other
+columns, which of them do follows from where they lie in the table.
 
-Only the table of sources is joined to documents; documents are not shuffled when it was counted
-to be small, and a shuffled join with that table splits a hot source (adaptive skew join).
+The table of sources and that of repeated rows are joined to documents; documents are not shuffled
+when these were counted to be small, and a shuffled join splits a hot source (adaptive skew join).
+Equal rows are numbered within the part of the table that they lie in, on top of how many lie in
+the parts before, so that no task holds all rows of a hot group. Rows that repeat nothing stay in place.
 
 Defined cases: a null source is a source of its own and comes last; a null text has no words and
 is emitted by the same rule with 0 words; a source without words has target 0 and rate 0, and a
-table without words gives targets 0; repeated rows draw the same number when both id and text are
-equal. Sources are in code point order. An empty table gives an empty result. Other columns are
+table without words gives targets 0; repeated rows draw each for itself. Sources are in code point order. An empty table gives an empty result. Other columns are
 kept by :func:`mixed`, whatever their names, and ignored otherwise. The table of sources (a few numbers each) is put
 in order in one task; nothing else is.
 """
@@ -25,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_PATTERN, cut, small_or_shuffled
+from lodestone.llm.common import WORD_PATTERN, cut, n_rows, small_or_shuffled
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -35,11 +39,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def draw(seed: str) -> Column:
-    """A number in [0, 1) from 32 bits of md5 over seed, id and text."""
+def row_key(seed: str) -> Column:
+    """md5 over seed, id and text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws(":", F.lit(seed), text("doc_id"), text("text")))
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    return F.md5(F.concat_ws(":", F.lit(seed), text("doc_id"), text("text")))
+
+
+def draw(key: Column, place: Column) -> Column:
+    """A number in [0, 1) from 32 bits of the key, or of the key and the place of a row that is not the first of its kind."""
+    own = F.when(place == 0, key).otherwise(F.md5(F.concat_ws(":", key, place.cast("string"))))
+    return F.conv(F.substring(own, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def numbered(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (_key, _of, _part and others) and ``_place``: their number, from 0, among the rows of equal _key and _of, which ``facts`` has too."""
+    same = ["_key", "_of"]
+    again = cut(facts.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(c + "_") for c in same]))
+    if not n_rows(again):
+        return rows.withColumn("_place", F.lit(0).cast("long")).drop("_part")
+    is_same = lambda end, *more: [F.col(c).eqNullSafe(F.col(c + end)) for c in (*same, *more)]
+    marked = rows.join(small_or_shuffled(again), is_same("_"), "left")
+    repeated = cut(marked.where("_key_ is not null").drop("_key_", "_of_"))
+    in_part = repeated.groupBy(*same, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = in_part.select(*[F.col(c).alias(c + "__") for c in (*same, "_part")], before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*same, "_part").orderBy(F.lit(0)))
+    placed = repeated.withColumn("_nth", nth).join(starts, is_same("__", "_part")).withColumn("_place", F.col("_before") + F.col("_nth") - 1)
+    once = marked.where("_key_ is null").withColumn("_place", F.lit(0).cast("long")).drop("_key_", "_of_", "_part")
+    return once.unionByName(placed.select(*once.columns))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -68,16 +95,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document: the kept columns, _size, _source_size, _target, _rate, _copies."""
-    sized = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "source", "text")], n_words(F.col("text")).alias("_size"))
-    targets = cut(source_targets(sized.select("source", F.col("_size").alias("size")), weights, most))
+    size, key = n_words(F.col("text")).alias("_size"), row_key(seed).alias("_key")
+    facts = cut(docs.select(key, F.col("source").alias("_of"), size))  # the text is read once for targets and repeated rows
+    targets = cut(source_targets(facts.select(F.col("_of").alias("source"), F.col("_size").alias("size")), weights, most))
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    narrow = sized.select(*keep, F.col("source").alias("_of"), "_size", draw(seed).alias("_draw"))
+    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("source").alias("_of"), size, key, F.spark_partition_id().alias("_part"))
     return (
-        narrow.join(small_or_shuffled(targets), F.col("_of").eqNullSafe(F.col("_source")))
+        numbered(narrow, facts)
+        .join(small_or_shuffled(targets), F.col("_of").eqNullSafe(F.col("_source")))
         .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + F.when(F.col("_draw") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("long"))
-        .drop("_source", "_of", "_draw")
+        .withColumn("_copies", (F.floor("_rate") + F.when(draw(F.col("_key"), F.col("_place")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("long"))
+        .drop("_source", "_of", "_key", "_place")
     )
 
 
@@ -101,10 +130,12 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (
+WITH e AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, source) - 1 AS place FROM e),
+d AS (SELECT doc_id, source, size, ('0x' || substr(CASE WHEN place = 0 THEN key ELSE md5(key || ':' || place) END, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM n),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.mixing import mix_plan, mixed, source_targets
@@ -27,7 +28,8 @@ def test_shards_match_brute_force(spark):
     by = defaultdict(list)
     for r in rows:
         body = (r[1] or "").encode()
-        by[r[3]].append((md5(f"interleave:{'' if r[0] is None else r[0]}".encode()).hexdigest(), zlib.crc32(body), len(body) + 16, r[0]))
+        crc, size = zlib.crc32(body), len(body) + 16
+        by[r[3]].append((md5(f"interleave:{'' if r[0] is None else r[0]}:{crc}:{size}".encode()).hexdigest(), crc, size, r[0]))
     order = sorted(((2 * k + 1) / (2 * len(v)), s is None, s or "", 2 * k + 1, x) for s, v in by.items() for k, x in enumerate(sorted(v, key=lambda x: x[:3])))
     want = Counter((x[3], x[2], x[1], p * 7 // len(order), p - -(-(p * 7 // len(order)) * len(order) // 7)) for p, (*_, x) in enumerate(order))
     assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == want
@@ -66,6 +68,19 @@ def test_mix_repeats_by_rate(spark):
     assert mix_plan(frame.limit(0)).count() == 0
 
 
+def test_equal_rows_draw_each_for_itself(spark):
+    rows = [(1, "w " * 4, "a", i) for i in range(1000)] + [(i, "w " * 4, "b", i) for i in range(800)] + [(None, None, None, 0)] * 3 + [(None, "w", None, 0)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _part int").repartition(5)
+    plan = mix_plan(frame, weights=(7, 9, 1), keep=("doc_id", "source"))
+    got = {r["source"]: r for r in plan.groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("target"), F.count(F.lit(1)).alias("n")).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 1000, "b": 800, None: 6}
+    assert all(abs(got[s].taken - got[s].target) < 0.04 * got[s].target for s in "ab"), got
+    draws = lambda f: Counter(tuple(r) for r in mix_plan(f, weights=(7, 9, 1)).collect())
+    assert draws(frame) == draws(frame.repartition(2)) == draws(frame.coalesce(1))
+    again = mixed(frame, weights=(7, 9, 1))
+    assert again.columns == frame.columns and again.where("source = 'a'").count() * 4 == got["a"].taken
+
+
 def test_topk_is_exact(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.003, 0.25, rng.uniform(-1, 1)]) for _ in range(6)], "x") for i in range(400)]
