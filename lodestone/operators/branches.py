@@ -49,6 +49,19 @@ def session_ranges(commits: DataFrame, session: str = "session", pos: str = "pos
     return ends.select(session, "first", "last", "own", (F.col("_b") - F.col("_a") + 1).cast("long").alias("inside"))
 
 
+def ref_ranges(commits: DataFrame, wanted: DataFrame, ref: str = "ref", pos: str = "pos") -> DataFrame:
+    """request, state, first, last, inside of ranges (request, from, to) between two commits named by ``ref``, both ends included.
+
+    ``not_found`` where an end is no commit, ``empty_range`` where the second lies before the first.
+    """
+    placed = running_base(commits.withColumn("one", F.lit(1)), "one", [pos])
+    ends = [placed.select(F.col(ref).alias(x), F.col(pos).alias(n), F.col("base").alias(f"_{n}")) for x, n in (("from", "first"), ("to", "last"))]
+    both = wanted.join(ends[0], "from", "left").join(ends[1], "to", "left")
+    state = F.when(F.col("first").isNull() | F.col("last").isNull(), "not_found").when(F.col("first") > F.col("last"), "empty_range").otherwise("ok")
+    found = lambda c: F.when(state == "ok", c)
+    return both.select("request", state.alias("state"), found(F.col("first")).alias("first"), found(F.col("last")).alias("last"), found((F.col("_last") - F.col("_first") + 1).cast("long")).alias("inside"))
+
+
 def file_status(tracked: DataFrame, working: DataFrame) -> DataFrame:
     """file, status of every file: tracked (file, lines, existing) against the working tree (file, lines)."""
     t = tracked.where("existing").select("file", F.col("lines").alias("_old"))

@@ -81,3 +81,44 @@ def files_of_session(commits: DataFrame, session: str = "session", pos: str = "p
     """session, file, place: files in the order of their first commit, without those whose last commit stops tracking them."""
     ends = commits.where(F.col(session).isNotNull()).groupBy(session, "file").agg(F.min(pos).alias("_first"), F.max_by("op", pos).alias("_op")).where("_op <> 'untrack'")
     return ends.select(session, "file", F.row_number().over(Window.partitionBy(session).orderBy("_first")).alias("place"))
+
+
+def shell_word(s: Column) -> Column:
+    """Quoted for a shell unless it holds plain characters only."""
+    quoted = F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return F.when(s.rlike(r"\A[A-Za-z0-9_./@%+=:,-]+\z"), s).otherwise(quoted)
+
+
+def finish_message(subject: Column, ticket: Column) -> Column:
+    """The commit's subject in one line, with the ticket behind it unless it ends so already."""
+    line = F.regexp_replace(F.regexp_replace(subject, r"\A\s+|\s+\z", ""), r"\s+", " ")
+    mark = F.concat(F.lit("("), ticket, F.lit(")"))
+    return F.when(F.endswith(line, mark), line).otherwise(F.concat_ws(" ", line, mark))
+
+
+def finish_command(files: Column, message: Column, *logs: str) -> Column:
+    """The command that records a session's files, in order, and the logs beside them."""
+    paths = F.concat(files, F.array(*[F.lit(x) for x in logs]).cast("array<string>"))
+    return F.concat(F.lit("git add -- "), F.array_join(F.transform(paths, shell_word), " "), F.lit(" && git commit -m "), shell_word(message))
+
+
+def finish_comment(session: Column, message: Column, ticket: Column, done: Column, **more: Column) -> Column:
+    """The ticket's closing comment; of ``more`` (decided, left, tests, not_verified) those that say something, in that order."""
+    head = F.concat(F.lit("Done in "), session, F.lit('; git: "'), message, F.lit('" (`git log --grep '), ticket, F.lit("`)."))
+    part = lambda name, c: F.when(F.trim(c) != "", F.concat(F.lit(f"**{name}.** "), F.trim(c)))
+    given = [part(n.capitalize().replace("_", " "), more[n]) for n in ("decided", "left", "tests", "not_verified") if n in more]
+    return F.concat_ws("\n\n", head, F.concat(F.lit("**Done.** "), F.trim(done)), *given)
+
+
+def finished(touched: DataFrame, active: DataFrame, pending: DataFrame) -> DataFrame:
+    """ticket, session, code, files: what a ticket's closing would record, or why it may not be closed.
+
+    ``touched``: session, file, place, kept (not kept: the last commit took the file out). ``active``: ticket, session
+    (null: none). ``pending``: file with edits that no commit has. ``no_session`` comes before ``pending_edits``.
+    """
+    mine = touched.join(pending.select("file").distinct().withColumn("_open", F.lit(True)), "file", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("place", "file")))), lambda x: x["file"])
+    per = mine.groupBy("session").agg(ordered.alias("files"), F.coalesce(F.bool_or("_open"), F.lit(False)).alias("_open"))
+    code = F.when(F.col("session").isNull(), "no_session").when(F.col("_open"), "pending_edits")
+    none = F.array().cast("array<string>")
+    return active.join(per, "session", "left").select("ticket", "session", code.alias("code"), F.when(code.isNull(), F.coalesce("files", none)).otherwise(none).alias("files"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_BYTES = 1 << 20
+MOST_BYTES, MOST_JSON_BYTES = 1 << 20, 1 << 16
 # fixed values: folders of code that is not one's own, names and name endings of generated files, media types of whole names
 VENDORED = ("node_modules", "vendor", "third_party", "third-party", "bower_components", "__pycache__", "venv", "site-packages")
 GENERATED_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "go.sum", "poetry.lock", "composer.lock", "Gemfile.lock", "Pipfile.lock")
@@ -53,7 +53,7 @@ def bucket_of(path: Column, size: Column, content: Column) -> Column:
         .when(~extension.isin(*EXTENSIONS) & ~name_of(path).isin(*WHOLE_NAMES) & ~is_generated_name(path), "other_type")
         .when(is_generated_name(path), "generated_name")
         .when(content.isNull(), "unreadable")
-        .when(size > MOST_BYTES, "large")
+        .when(size > F.when(extension == "json", MOST_JSON_BYTES).otherwise(MOST_BYTES), "large")
         .when((size == 0) | ~F.is_valid_utf8(text) | F.contains(text, F.lit("\x00")), "binary_or_empty")
         .when(head.rlike(GENERATED_TEXT), "generated_text")
     )
@@ -83,6 +83,24 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("id is not null").orderBy(F.desc("updatedAt"), F.regexp_extract("id", "([0-9]+)$", 1).try_cast("long").desc())
 
 
+def page_list(spark: SparkSession, root: str) -> DataFrame:
+    """id, title, description, keywords, createdAt, updatedAt, bytes, problem of every page folder; ``bytes`` is the page's own size.
+
+    A folder is listed where its metadata can be read, names the folder and has a title of text, and the page is
+    there; else ``problem`` says why it is not, in this order: unreadable, other_id, no_title, no_page. Fields of
+    another type than text are empty; a page never updated has the time it was made. One bad folder hides no other.
+    """
+    of = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder")
+    meta = spark.read.option("wholetext", True).text(f"{root}/*/meta.json").select(of, F.try_parse_json("value").alias("_m"))
+    sizes = spark.read.format("binaryFile").load(f"{root}/*/page.html").select(of, F.col("length").alias("bytes"))  # names and sizes alone, not contents
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("_m", f"$.{k}", "variant")), F.lit(""))
+    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get("_m", f"$.{k}", "string")).otherwise("")
+    words = F.filter(F.coalesce(F.try_variant_get("_m", "$.keywords", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING")
+    rows = meta.join(sizes, "folder", "left").select("folder", "bytes", text("id").alias("id"), text("title").alias("title"), text("description").alias("description"), F.transform(words, lambda x: F.try_variant_get(x, "$", "string")).alias("keywords"), text("createdAt").alias("createdAt"), text("updatedAt").alias("updatedAt"), (F.coalesce(F.schema_of_variant("_m"), F.lit("")).startswith("OBJECT")).alias("_ok"), (kind("title") == "STRING").alias("_titled"))
+    problem = F.when(~F.col("_ok"), "unreadable").when(F.col("id") != F.col("folder"), "other_id").when(~F.col("_titled"), "no_title").when(F.col("bytes").isNull(), "no_page")
+    return rows.select("folder", "title", "description", "keywords", "createdAt", F.when(F.col("updatedAt") == "", F.col("createdAt")).otherwise(F.col("updatedAt")).alias("updatedAt"), "bytes", problem.alias("problem")).withColumnRenamed("folder", "id")
+
+
 def pdf_paragraphs(runs: DataFrame, by: list[str], pos: str) -> DataFrame:
     """by, text: text runs (x, y, h, text) to lines and paragraphs.
 
