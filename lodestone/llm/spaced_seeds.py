@@ -39,6 +39,8 @@ WINDOW, PERCENT = 12, 80
 BROADCAST_SEEDS = 1_000_000
 #: Scripts without spaces between words.
 UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+#: None of their letters lies before this range, which is looked at first: asking a letter's script is slow.
+BEYOND = r"[\x{0E00}-\x{10FFFF}]"
 
 
 def masks_of(size: int) -> tuple[str, ...]:
@@ -56,7 +58,7 @@ def masks_of(size: int) -> tuple[str, ...]:
 
 def token_hashes(text: str) -> Column:
     letter, low = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "]", F.lower(text)
-    apart = F.when(low.rlike(letter), F.regexp_replace(low, f"({letter})", " $1 ")).otherwise(low)
+    apart = F.when(low.rlike(BEYOND), F.regexp_replace(low, f"(?={BEYOND})({letter})", " $1 ")).otherwise(low)
     words = F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
