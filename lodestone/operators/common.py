@@ -40,3 +40,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table's rows dealt over all cores, since its files may hold them in a single piece; tables read in many pieces stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(PIECES_A_CORE * cores) if df.rdd.getNumPartitions() < PIECES_A_CORE * cores else df
+
+
+def pieces(df: DataFrame) -> int:
+    """Pieces for work on a table's rows: enough for all cores, and more as the table is read in more."""
+    return PIECES_A_CORE * max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import B, DECIMALS, K1, RRF_K
 from lodestone.functions.text import counted_terms, query_terms
-from lodestone.operators.common import cut, is_small, spread
+from lodestone.operators.common import cut, is_small, pieces, spread
 
 #: Queries that travel to a vector scan together.
 QUERIES_AT_ONCE = 10_000
@@ -20,9 +20,13 @@ QUERIES_AT_ONCE = 10_000
 rounded = lambda c: F.round(c, DECIMALS)
 
 
-def terms_of(docs: DataFrame, key: str, fields: dict[str, int], *more: Column) -> DataFrame:
-    """key, ts, len: the terms of all fields with their weights, and the weighted length; tokenised once."""
-    arrays = spread(docs).select(key, *more, *[F.coalesce(counted_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)])
+def terms_of(docs: DataFrame, key: str, fields: dict[str, int], *more: Column, parts: int | None = None) -> DataFrame:
+    """key, ts, len: the terms of all fields with their weights, and the weighted length; tokenised once.
+
+    With ``parts`` the documents are dealt by their key first: their terms, many times as many rows, are then counted without a shuffle.
+    """
+    dealt = spread(docs) if parts is None else docs.repartition(parts, key)
+    arrays = dealt.select(key, *more, *[F.coalesce(counted_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)])
     with_weight = lambda w: lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))  # noqa: E731  a second parameter would be the index
     weighted = [F.transform(f"_t{i}", with_weight(w)) for i, w in enumerate(fields.values())]
     size = sum((F.size(f"_t{i}") * w for i, w in enumerate(fields.values())), F.lit(0))
@@ -73,7 +77,10 @@ def scored(rows: DataFrame, key: str, asked: DataFrame, few: bool, min_score: fl
     hits = rows.where("term is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(stats_of(rows))).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # one row of statistics
-    found = (hits if kept is None else hits.where(kept)).join(mark(weights), "term").join(mark(asked), "term")
+    found = hits if kept is None else hits.where(kept)
+    # postings dealt by document, so that the far more numerous pairs of query and document are summed where they are made
+    found = found.repartition(pieces(rows), key) if few else found
+    found = found.join(mark(weights), "term").join(mark(asked), "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     out = found.groupBy("query", key).agg(F.sum(part).alias("score"))
@@ -91,7 +98,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame,
     few = is_small(asked)
     terms = asked.select("term").distinct().withColumn("_asked", F.lit(True))
     own = [key, "len", "_keep"]
-    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"))
+    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"), parts=pieces(docs))
     itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("w")))
     each = rows.select(*own, F.explode(F.concat("ts", itself)).alias("_x")).select(*own, "_x.term", "_x.w")
     if few:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import B, K1
 from lodestone.operators import retrieval as R
-from lodestone.operators.common import bounded, cut, is_small
+from lodestone.operators.common import bounded, cut, is_small, pieces
 from lodestone.streaming.tail import versions
 
 POSTINGS_A_FILE = 1_000_000
@@ -85,11 +85,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame | None:
     return _without_buried(_read(spark, path, "docs", segments), _tombstones(spark, path, segments)) if segments else None
 
 
-def _write(spark: SparkSession, path: str, postings: DataFrame, docs: DataFrame, gone: DataFrame) -> Segment:
+def _write(spark: SparkSession, path: str, postings: DataFrame, docs: DataFrame, gone: DataFrame, n: int) -> Segment:
+    """A segment of these rows; ``n`` is the number of postings, or a bound of it, and ``postings`` are read twice, for ranges and rows."""
     name = uuid.uuid4().hex
     docs.select("key", "digest", "len").write.parquet(f"{path}/docs/{name}")
     gone.select("key", "len").write.parquet(f"{path}/gone/{name}")
-    n = postings.count()
     ranged = postings.select("term", "key", "len", "tf").repartitionByRange(max(1, -(-n // POSTINGS_A_FILE)), "term", "key").sortWithinPartitions("term", "key")
     ranged.write.parquet(f"{path}/postings/{name}")
     sums = lambda kind: spark.read.parquet(f"{path}/{kind}/{name}").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -119,11 +119,16 @@ def sync(docs: DataFrame, key: str, fields: dict[str, int], path: str, version:
     found = {s: counts.get(s, 0) for s in ("added", "revised", "forgotten")}
     if not any(found.values()) and segments:
         return found
-    fresh = changed.where("state <> 'forgotten'").select(F.col("key").alias(key), "digest")
-    wanted = docs.join(fresh, key)
-    rows = cut(R.counted(R.terms_of(wanted, key, fields, F.col("digest")), key, "digest", "len").withColumnRenamed(key, "key"))
+    fresh = changed.where("state <> 'forgotten'").select("key", "digest")
+    wanted = docs.join(fresh.select(F.col("key").alias(key)), key, "left_semi")
+    # tokenised once, into a table that is removed with the next lines; digests stay out of the postings
+    work = f"{path}/work/{uuid.uuid4().hex}"
+    R.counted(R.terms_of(wanted, key, fields, parts=pieces(docs)), key, "len").withColumnRenamed(key, "key").write.parquet(work)
+    rows = spark.read.parquet(work)
+    postings = rows.where("term is not null")
     gone = changed.where("state <> 'added'").select("key", F.col("_len").alias("len"))
-    _publish(spark, path, [*segments, _write(spark, path, rows.where("term is not null"), rows.where("term is null"), gone)])
+    _publish(spark, path, [*segments, _write(spark, path, postings, rows.where("term is null").select("key", "len").join(fresh, "key"), gone, postings.count())])
+    _remove(spark, work)
     if merging:
         merge_tail(spark, path)
     return found
@@ -135,7 +140,7 @@ def forget(spark: SparkSession, path: str, keys: DataFrame) -> int:
     if held is None:
         return 0
     gone = cut(held.join(keys.select("key").distinct(), "key", "left_semi").select("key", "len"))
-    segment = _write(spark, path, _none(gone, "postings"), _none(gone, "docs"), gone)
+    segment = _write(spark, path, _none(gone, "postings"), _none(gone, "docs"), gone, 0)
     if segment.gone_n:
         _publish(spark, path, [*manifest(spark, path), segment])
     return segment.gone_n
@@ -172,10 +177,16 @@ def merge(spark: SparkSession, path: str, first: int = 0) -> int:
         born = _read(spark, path, "docs", tail, first).groupBy("key").agg(F.min("place").alias("born"))
         oldest = gone.groupBy("key").agg(F.min("place").alias("buried"), F.min_by("len", "place").alias("len"))
         kept = oldest.join(born, "key", "left").where("born is null or buried <= born").select("key", "len")
-    _publish(spark, path, [*segments[:first], _write(spark, path, cut(postings), docs, kept)])
+    n = _read(spark, path, "postings", tail, first).count()  # with those of buried versions
+    _publish(spark, path, [*segments[:first], _write(spark, path, postings, docs, kept, n)])
     return first + 1
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_unlisted(spark: SparkSession, path: str) -> int:
     """Removes what no manifest needs any more, once no search that began before the last change runs; the number of segments removed."""
     jvm = spark.sparkContext._jvm
@@ -211,6 +222,7 @@ def search(spark: SparkSession, path: str, key: str, queries: DataFrame, min_sco
     weights = df.select("term", R.idf(F.lit(n), F.col("df")).alias("idf"))
     tf, average = F.col("tf").cast("double"), total / n if n else 0.0
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.try_divide(F.col("len"), F.lit(average))))
-    out = hits.join(mark(weights), "term").join(mark(asked), "term").groupBy("query", key).agg(F.sum(part).alias("score"))
+    dealt = hits.repartition(pieces(hits), key) if few else hits
+    out = dealt.join(mark(weights), "term").join(mark(asked), "term").groupBy("query", key).agg(F.sum(part).alias("score"))
     out = out if min_score is None else out.where(F.col("score") >= min_score)
     return out if keep is None else out.join(keep.select(key), key, "left_semi")

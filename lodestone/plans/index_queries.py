@@ -58,8 +58,10 @@ def z3_revised(spark, sf):
     strangers = docs.where("doc_id % 11 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
     G.sync(first.unionByName(strangers), "doc_id", BODY, path)
     G.sync(docs, "doc_id", BODY, path)
+    G.drop_unlisted(spark, path)  # nothing else reads this index
     G.forget(spark, path, docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("key")))
     G.merge_tail(spark, path, most=2)
+    G.drop_unlisted(spark, path)
     return _ten(G.search(spark, path, "doc_id", asked(spark, sf)))
 
 

@@ -50,3 +50,13 @@ def test_index_grows_from_its_offset_and_restarts(spark, tmp_path):
     assert rows(I.search(spark, path, "doc_id", queries)) == rows(R.bm25(few, "doc_id", {"text": 1}, queries))
     kept = docs.where("doc_id = 0").select("doc_id")
     assert {r[1] for r in rows(I.search(spark, path, "doc_id", queries, keep=kept))} <= {0}
+
+
+def test_terms_are_counted_without_a_shuffle_of_their_own(spark):
+    """Documents dealt by key: one exchange of texts, none of postings."""
+    from lodestone.operators import retrieval as R
+
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('red fox ', id) AS text")
+    rows = R.counted(R.terms_of(docs, "doc_id", {"text": 1}, parts=4), "doc_id", "len")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert rows.where("term is not null").count() == 150

@@ -100,3 +100,14 @@ def test_a_change_that_was_broken_off_leaves_the_index(spark, tmp_path, queries,
         with pytest.raises(OSError):
             G.sync(frame(spark, texts | {3: "red"}), "doc_id", FIELDS, path)
     same(spark, path, texts, queries)
+
+
+def test_postings_stay_out_of_checkpoints(spark, tmp_path, monkeypatch):
+    """What a change leaves on disk is its segment: no checkpoint of postings, no working table."""
+    seen, path = [], f"{tmp_path}/index"
+    kept = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: seen.append(df.columns) or kept(df))
+    for texts in ({i: f"red fox {i}" for i in range(20)}, {i: f"blue dog {i}" for i in range(10, 30)}):
+        G.sync(frame(spark, texts), "doc_id", FIELDS, path)
+    assert seen and not any("term" in columns for columns in seen)
+    assert not list((tmp_path / "index" / "work").iterdir())
