@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import contains_folded
+from lodestone.operators.common import cut
 
 
 def document_filter(collection: str | None = None, source: str | None = None, mime: str | None = None, since: str | None = None, q: str | None = None, meta: dict | None = None) -> Column:
@@ -79,9 +80,9 @@ def running_base(rows: DataFrame, count: str, order: list[str], buckets: int = 6
     """``base``: the sum of ``count`` over all rows before, without one task for all rows.
 
     Rows fall into ranges of the order (sampled by Spark), ranges are summed, and sums run within
-    a range only.
+    a range only. Rows are written with their range, since another run of the plan would sample other ranges.
     """
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum(count).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(totals.select("_part", before.alias("_before")))  # one row a range

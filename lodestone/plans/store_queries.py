@@ -90,7 +90,7 @@ def a14(spark, sf):
 
 @query("o13_stale_order", sql=f"WITH {DOCS_SQL}, s AS (SELECT *, max(fetched_at) OVER (PARTITION BY source) AS newest FROM dd) SELECT id, newest, (row_number() OVER (ORDER BY newest DESC, source, fetched_at DESC, pos))::BIGINT AS place FROM s WHERE {STALE}")
 def o13(spark, sf):
-    d = documents(spark, sf)
+    d = documents(spark, sf).select("id", "pos", "source", "fetched_at")
     newest = d.groupBy("source").agg(F.max("fetched_at").alias("newest"))
     rows = d.where(D.stale(F.col("fetched_at"), F.lit(AS_OF).cast("timestamp"), 7776000)).join(newest, "source")
     order = [F.desc("newest"), F.col("source"), F.desc("fetched_at"), F.col("pos")]
