@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-STEPS, PULL, ROWS_AT_ONCE = 300, 0.02, 512
+STEPS, PULL, ROWS_AT_ONCE = 300, 0.02, 64
 
 
 def positions(nodes: list, edges: list[tuple[int, int]], steps: int = STEPS) -> np.ndarray:
@@ -18,10 +18,19 @@ def positions(nodes: list, edges: list[tuple[int, int]], steps: int = STEPS) ->
     e = np.array(edges, dtype=int).reshape(-1, 2)
     for step in range(steps if n > 1 else 0):
         move = -PULL * k * p
-        for at in range(0, n, ROWS_AT_ONCE):  # exact repulsion, in bounded blocks
-            diff = p[at : at + ROWS_AT_ONCE, None] - p[None]
-            d2 = (diff**2).sum(axis=2) + 1e-9
-            move[at : at + ROWS_AT_ONCE] += (diff * (k * k / d2)[..., None]).sum(axis=1)
+        x, y = p.T.copy()
+        for at in range(0, n, ROWS_AT_ONCE):  # exact repulsion, in bounded blocks, a plane for each coordinate
+            low = min(at, n - 2)  # two columns at least, since one alone is summed in another order
+            own = slice(low, at + ROWS_AT_ONCE)
+            dx, dy = x[own] - x[:, None], y[own] - y[:, None]
+            force = dx * dx
+            force += dy * dy
+            force += 1e-9
+            np.divide(k * k, force, out=force)
+            dx *= force
+            dy *= force
+            move[at : at + ROWS_AT_ONCE, 0] += dx.sum(axis=0)[at - low :]
+            move[at : at + ROWS_AT_ONCE, 1] += dy.sum(axis=0)[at - low :]
         if len(e):
             diff = p[e[:, 0]] - p[e[:, 1]]
             pull = diff * (np.linalg.norm(diff, axis=1) / k)[:, None]

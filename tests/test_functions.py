@@ -283,3 +283,36 @@ def test_tail(spark, tmp_path):
     run()
     run()
     assert {(r.k, r.pos, r.v) for r in tail.current_state(spark, state).collect()} == {("a", 3, "z"), ("b", 2, "y")}
+
+
+def test_layout_of_planes_is_that_of_pairs():
+    """The same bits as from all differences at once, in a fraction of the time."""
+    import time
+
+    from lodestone.operators.layout import PULL, positions
+
+    def plain(n, edges, steps):
+        k = 1 / np.sqrt(n)
+        turn = np.arange(n) * 2.399963
+        p = np.stack([np.cos(turn), np.sin(turn)], axis=1) * np.sqrt((np.arange(n) + 0.5) / n)[:, None] / 2
+        e = np.array(edges, dtype=int).reshape(-1, 2)
+        for step in range(steps):
+            diff = p[:, None] - p[None]
+            move = -PULL * k * p + (diff * (k * k / ((diff**2).sum(axis=2) + 1e-9))[..., None]).sum(axis=1)
+            diff = p[e[:, 0]] - p[e[:, 1]]
+            pull = diff * (np.linalg.norm(diff, axis=1) / k)[:, None]
+            np.add.at(move, e[:, 0], -pull)
+            np.add.at(move, e[:, 1], pull)
+            length = np.linalg.norm(move, axis=1, keepdims=True) + 1e-12
+            p = p + move / length * np.minimum(length, 0.1 * (1 - step / steps))
+        return p
+
+    took = {plain: 0.0, positions: 0.0}
+    for n in (2, 63, 64, 65, 600):
+        edges, got = [(i, i // 2) for i in range(1, n)], []
+        for f in took:
+            began = time.process_time()
+            got.append(f(n if f is plain else list(range(n)), edges, 5))
+            took[f] += time.process_time() - began
+        assert np.array_equal(*got)
+    assert took[positions] < took[plain] / 2
