@@ -45,3 +45,9 @@ def spread(df: DataFrame) -> DataFrame:
 def pieces(df: DataFrame) -> int:
     """Pieces for work on a table's rows: enough for all cores, and more as the table is read in more."""
     return PIECES_A_CORE * max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+
+
+def by_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over all cores for work in Python: sizes in bytes, by which Spark joins small pieces, say nothing of what a group takes."""
+    parts = max(PIECES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)

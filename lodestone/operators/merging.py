@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.lines import join_lines, line_regions
-from lodestone.operators.common import bounded, cut
+from lodestone.operators.common import bounded, by_groups, cut
 from lodestone.operators.shifts import replayed
 
 #: Room for the positions of one member of a chain in the order of the whole chain.
@@ -244,7 +244,7 @@ def placements(stream: DataFrame, records: DataFrame) -> DataFrame:
 
     kinds = {c: stream.schema[n].dataType.simpleString() for c, n in (("b", "into_branch"), ("t", "target"), ("f", "file"))}
     narrow = new.select(*keys, "seq", "op", "old_start", "old_lines", "old_text", "new_text", "ended")
-    return narrow.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(task, _PLACED.format(**kinds))
+    return by_groups(narrow, *keys).groupBy(*keys).cogroup(by_groups(states, *keys).groupBy(*keys)).applyInPandas(task, _PLACED.format(**kinds))
 
 
 def merge_records(stream: DataFrame, placed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.common import cut
+from lodestone.operators.common import by_groups, cut
 from lodestone.operators.history import GONE
 
 EDITS_A_RUN = 512
@@ -199,18 +199,19 @@ def line_sources(commits: DataFrame, file: str = "file", pos: str = "pos", until
         "removed_from": F.when(F.col("gone"), F.array(F.lit(0).cast("long"))).when(F.col("cut_lines") > 0, F.array("head")).otherwise(F.array().cast("array<long>")),
         "removed_to": F.when(F.col("gone"), F.array(F.lit(FOREVER).cast("long"))).when(F.col("cut_lines") > 0, F.array(F.col("head") + F.col("cut_lines"))).otherwise(F.array().cast("array<long>")),
     })
+    in_runs = lambda d: by_groups(d, "file", "run").groupBy("file", "run")
     levels = [_with_runs(size_of_edit, edits_a_run)]
     while (levels[-1].groupBy("file").agg(F.count_distinct("run").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:  # a number
-        up = levels[-1].groupBy("file", "run").applyInPandas(_fold_sizes, _SIZES.format(kind=kind))
+        up = in_runs(levels[-1]).applyInPandas(_fold_sizes, _SIZES.format(kind=kind))
         levels.append(_with_runs(up, edits_a_run))
     # down: the one run of the highest level starts from an empty file
     starts = levels[-1].select("file", "run").distinct().select("file", "run", F.lit(0).cast("long").alias("start"))
     for level in levels[:0:-1]:
-        below = level.join(starts, ["file", "run"]).groupBy("file", "run").applyInPandas(_hand_down, f"file {kind}, at long, start long")
+        below = in_runs(level.join(starts, ["file", "run"])).applyInPandas(_hand_down, f"file {kind}, at long, start long")
         starts = cut(below.select("file", F.col("at").alias("run"), "start"))
-    maps = levels[0].join(starts, ["file", "run"]).groupBy("file", "run").applyInPandas(_edits_of_run, _MAP.format(kind=kind))
+    maps = in_runs(levels[0].join(starts, ["file", "run"])).applyInPandas(_edits_of_run, _MAP.format(kind=kind))
     for level in levels[1:]:
-        maps = maps.join(level.select("file", "at", "run"), ["file", "at"]).groupBy("file", "run").applyInPandas(_maps_of_run, _MAP.format(kind=kind))
+        maps = in_runs(maps.join(level.select("file", "at", "run"), ["file", "at"])).applyInPandas(_maps_of_run, _MAP.format(kind=kind))
     ends = rows.groupBy(F.col(file).alias("file")).agg(F.max_by(~gone, pos).alias("existing"))
     return maps.join(ends, "file").select(F.col("file").alias(file), "last", "existing", "source", "low", "high")
 

@@ -215,3 +215,12 @@ def test_scan_equals_replay_in_order(spark, edits_a_run):
     assert blame == {(f, i): int(x.split(".")[0]) for f, lines in want.items() for i, x in enumerate(lines, 1)}
     early = S.replayed(commits, until=F.lit(60), edits_a_run=edits_a_run).count()
     assert early == len({f for f, p, *_ in rows if p <= 60}) and S.replayed(commits.limit(0)).count() == 0
+
+
+def test_groups_in_python_take_all_cores(spark):
+    """The maps of small files are not put together into one task because their rows are few bytes."""
+    rows = [(f, p, "create" if p == 0 else "edit", 1, 0, ["x"]) for f in range(40) for p in range(3)]
+    commits = spark.createDataFrame(rows, "file long, pos long, op string, old_start int, old_lines int, new_text array<string>")
+    sources = S.line_sources(commits)
+    assert "REPARTITION_BY_NUM" in sources._jdf.queryExecution().executedPlan().toString()
+    assert {r["file"]: len(r["lines"]) for r in S.replayed(commits).collect()} == dict.fromkeys(range(40), 3)
