@@ -14,18 +14,21 @@ def commit_sessions(records: DataFrame) -> DataFrame:
 
     ``records``: pos, type, id, session, hash, of, user, intent, behavior. A commit belongs to its
     session if that was started before it; otherwise it is an orphan. Later amendments of its hash
-    give it their words, the last in the log being the latest. Both joins are by key with the
-    position decided inside windows, so a session or commit named often makes no pairs.
+    give it their words, the last in the log being the latest; one of no hash amends nothing, and a
+    commit without hash has none. Both joins are by key with the position decided inside windows, so a
+    session or commit named often makes no pairs; these windows only grow from row to row, since a frame
+    to the end of a group is read anew for each of its rows.
     """
     w = Window.partitionBy("name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     named = records.where("type in ('commit', 'session_start')").withColumn("name", F.when(F.col("type") == "commit", F.col("session")).otherwise(F.col("id")))
     started = F.last(F.when(F.col("type") == "session_start", F.col("pos")), ignorenulls=True).over(w)
     commits = named.withColumn("_started", started).where("type = 'commit'")
-    amends = records.where("type = 'amend'").select(F.col("of").alias("hash"), "pos", "type", "user", "intent", "behavior", F.lit(None).cast("string").alias("session"), F.lit(None).cast("long").alias("_started"))
+    amends = records.where("type = 'amend' and of is not null").select(F.col("of").alias("hash"), "pos", "type", "user", "intent", "behavior", F.lit(None).cast("string").alias("session"), F.lit(None).cast("long").alias("_started"))
     rows = commits.select("hash", "pos", "type", "user", "intent", "behavior", "session", "_started").union(amends)
-    after = Window.partitionBy("hash").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    # commits without hash stay apart
+    after = Window.partitionBy("hash", F.when(F.col("hash").isNull(), F.col("pos"))).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     amend = F.col("type") == "amend"
-    latest = F.last(F.when(amend, F.struct("intent", "behavior", "user")), ignorenulls=True).over(after)
+    latest = F.first(F.when(amend, F.struct("intent", "behavior", "user")), ignorenulls=True).over(after)
     n = F.count(F.when(amend, True)).over(after)
     return rows.withColumn("_a", latest).withColumn("amendments", n).where("type = 'commit'").select(
         "pos", "hash", "session", F.col("_started").isNull().alias("orphan"),

@@ -22,6 +22,17 @@ def test_history_fold(spark):
     assert Se.commit_sessions(spark.createDataFrame([], names)).count() == 0
 
 
+def test_amendments_of_no_hash_and_of_a_hot_one(spark):
+    names = "pos long, type string, id string, session string, hash string, of string, user string, intent string, behavior string"
+    none = [(k, "amend", None, None, None, None, "u", "stray", None) for k in (2, 5)]
+    rows = [(1, "commit", "C1", None, None, None, "a", "i1", None), (3, "commit", "C2", None, None, None, "a", "i2", None), (4, "commit", "C3", None, "h", None, "a", "i3", None), *none]
+    hot = spark.range(10, 30_010).select(F.col("id").alias("pos"), F.lit("amend").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("id", "session", "hash")], F.lit("h").alias("of"), F.lit("b").alias("user"), F.concat(F.lit("to "), "id").alias("intent"), F.lit(None).cast("string").alias("behavior"))
+    found = Se.commit_sessions(spark.createDataFrame(rows, names).union(hot))
+    assert {r["pos"]: (r["intent"], r["amendments"], r["amended_by"]) for r in found.collect()} == {1: ("i1", 0, None), 3: ("i2", 0, None), 4: ("to 30009", 30_000, "b")}
+    # a frame to the end of its group is read anew for each row
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_session_requests(spark):
     ops = [("end", "x"), ("start", " "), ("start", "a"), ("start", "b"), ("start", None), ("end", None), ("end", "x"), ("start", "c")]
     df = spark.createDataFrame([(1, i, *o) for i, o in enumerate(ops)], "k int, pos int, op string, msg string")
