@@ -78,7 +78,8 @@ def chain_breaks(lines: DataFrame, pos: str, line: str, prev: str, lineage: list
 
 def chunk_name(path: Column) -> tuple[Column, Column]:
     """(lineage, number) of ``<lineage>.<n>.jsonl``."""
-    return F.regexp_extract(path, r"([^/]+)\.[0-9]+\.jsonl$", 1), F.regexp_extract(path, r"\.([0-9]+)\.jsonl$", 1).try_cast("int")
+    name = F.substring_index(path, "/", -1)  # a pattern would be tried from every letter of a long path
+    return F.regexp_extract(name, r"^([^/]+)\.[0-9]+\.jsonl$", 1), F.regexp_extract(name, r"\.([0-9]+)\.jsonl$", 1).try_cast("int")
 
 
 def missing_chunks(names: DataFrame) -> DataFrame:
