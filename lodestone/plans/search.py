@@ -10,7 +10,7 @@ from lodestone.functions.snippet import snippets
 from lodestone.functions.text import identifier_shaped, query_terms
 from lodestone.operators import retrieval as R
 from lodestone.operators import segments
-from lodestone.operators.common import bounded
+from lodestone.operators.common import bounded, cut
 
 
 def weighted_by_shape(lists: DataFrame, queries: DataFrame) -> tuple[DataFrame, Column]:
@@ -55,6 +55,7 @@ def hybrid_search(
         alive = vectors if keep is None else vectors.join(docs.where(keep).select(key), key, "left_semi")
         sem = R.vector_scores(alive, key, vector, queries.where("qv is not null").select("query", "qv"), depth)
         lists = lists.union(sem.select("query", F.lit(1).alias("list_no"), "rank", key, "score"))
+    lists = cut(lists)  # at most two lists of ``depth`` rows a query, read for the order and for what matched
     if fusion == "rrf":
         fused = R.rrf(lists, key)
     elif semantic_weight is None:
@@ -65,5 +66,7 @@ def hybrid_search(
     best = R.fused_order(fused, key, k)
     matched = lists.groupBy("query", key).agg(F.array_sort(F.collect_set(F.when(F.col("list_no") == 0, "keyword").otherwise("semantic"))).alias("matched"))
     asked = queries.select("query", query_terms("text").alias("terms"))
-    shown = best.join(matched, ["query", key]).join(asked, "query").join(docs.select(key, text), key)
+    found = best.join(matched, ["query", key]).join(asked, "query")
+    # the best, where few, travel to the texts, and no text is shuffled
+    shown = docs.select(key, text).join(bounded(cut(found)), key)
     return shown.select("query", key, "rank", R.rounded("score").alias("score"), F.concat_ws(",", "matched").alias("matched"), snippets(text, "terms").alias("snippet"))
