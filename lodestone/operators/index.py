@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval as R
-from lodestone.operators.common import is_small
+from lodestone.operators.common import is_small, pieces
 
 BUCKETS, SALTS = 64, 4
 
@@ -22,7 +22,7 @@ def bucket(term: Column | str, buckets: int) -> Column:
 
 
 def _write(docs: DataFrame, key: str, fields: dict[str, int], path: str, segment: int, mode: str, buckets: int) -> None:
-    rows = R.counted(R.terms_of(docs, key, fields), key, "len")
+    rows = R.counted(R.terms_of(docs, key, fields, parts=pieces(docs)), key, "len")
     nothing = rows.sparkSession.range(1).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(0).cast("long").alias("len"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
     placed = rows.union(nothing).select(F.col(key).alias("key"), "len", "term", "tf", F.lit(buckets).alias("buckets"), F.lit(segment).alias("segment"), F.when(F.col("term").isNull(), -1).otherwise(bucket("term", buckets)).alias("bucket"))
     spread = placed.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions("bucket", "term")
