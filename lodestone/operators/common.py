@@ -36,10 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
 PIECES_A_CORE = 4
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table's rows dealt over all cores, since its files may hold them in a single piece; tables read in many pieces stay as they lie."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table's rows dealt over all cores, since its files may hold them in a single piece; tables read in many pieces stay as they lie.
+
+    Without ``keys`` Spark sorts a piece before it deals it out, so that a rerun deals alike.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(PIECES_A_CORE * cores) if df.rdd.getNumPartitions() < PIECES_A_CORE * cores else df
+    return df.repartition(PIECES_A_CORE * cores, *keys) if df.rdd.getNumPartitions() < PIECES_A_CORE * cores else df
 
 
 def pieces(df: DataFrame) -> int:

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import B, DECIMALS, K1, RRF_K
+from lodestone.functions.terms import terms as all_terms
 from lodestone.functions.text import counted_terms, query_terms
 from lodestone.operators.common import cut, is_small, pieces, spread
 
 #: Queries that travel to a vector scan together.
 QUERIES_AT_ONCE = 10_000
+#: So many scores, or places where a term is asked for, are held at once while a batch is scored; so many rows are handed on together.
+CELLS, ROWS_OUT = 1 << 21, 1 << 16
 
 rounded = lambda c: F.round(c, DECIMALS)
 
@@ -87,26 +94,139 @@ def scored(rows: DataFrame, key: str, asked: DataFrame, few: bool, min_score: fl
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame, min_score: float | None = None, keep: Column | None = None) -> DataFrame:
+def asked_counts(docs: DataFrame, key: str, fields: dict[str, int], terms: list[str], keep: Column) -> DataFrame:
+    """key, len, _keep, nos, tfs: a row for each document with its weighted length, and of the ``terms`` that it holds the numbers, ascending, and weighted counts."""
+    own = docs.select(key, keep.alias("_keep"), *[F.col(f).cast("string").cast("binary").alias(f"_t{i}") for i, f in enumerate(fields)])
+    shared = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(terms)})
+    weights = list(fields.values())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        for batch in batches:
+            lens, ends, nos, tfs = array("q"), array("i", [0]), array("i"), array("q")
+            for texts in zip(*(batch.column(i + 2) for i in range(len(weights)))):
+                n, tf = 0, Counter()
+                for text, w in zip(texts, weights):
+                    if text.is_valid:
+                        found = all_terms(text.as_py())
+                        n += w * len(found)
+                        for t, c in Counter(filter(number.__contains__, found)).items():
+                            tf[number[t]] += w * c
+                lens.append(n)
+                nos.extend(held := sorted(tf))
+                tfs.extend(map(tf.__getitem__, held))
+                ends.append(len(nos))
+            each = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens, pa.int64()), batch.column(1), each(nos, pa.int32()), each(tfs, pa.int64())], [key, "len", "_keep", "nos", "tfs"])
+
+    return spread(own, key).mapInArrow(task, f"{key} {docs.schema[key].dataType.simpleString()}, len long, _keep boolean, nos array<int>, tfs array<long>")
+
+
+def best_cells(scores: np.ndarray, rank: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Column and row of what was found in ``scores`` (rows x queries) and can be among a query's k best: no more of one score than the k first by ``rank``."""
+    found = scores > 0
+    if k is not None and len(scores) > k:
+        # scores that differ by less may be equal once they are rounded
+        found &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] - 2e-9
+    of, row = np.nonzero(found.T)
+    if k is None or len(scores) <= k:
+        return of, row
+    score = scores[row, of]
+    order = np.lexsort((rank[row], -score, of))
+    of, row, score = of[order], row[order], score[order]
+    at = np.arange(len(of))
+    begins = np.ones(len(of), bool)
+    begins[1:] = (of[1:] != of[:-1]) | (score[1:] != score[:-1])
+    first = at - np.maximum.accumulate(np.where(begins, at, 0)) < k
+    return of[first], row[first]
+
+
+def scored_in_batches(rows: DataFrame, key: str, query_kind: str, asked: pa.Table, best: int | None, merge: bool) -> DataFrame:
+    """query, key, score of rows of ``asked_counts``; the queries and their terms, which are few, travel to the rows.
+
+    With ``best`` a batch keeps what can be among the best of a query, so that pairs do not grow with queries x rows.
+    ``merge``: a row may have a number more than once.
+    """
+    names, terms = (asked.column(c).combine_chunks().dictionary_encode("encode") for c in ("query", "term"))
+    n_terms, n_queries = len(terms.dictionary), len(names.dictionary)
+    of, no = (np.asarray(x.indices, dtype=np.int64) for x in (names, terms))
+    of = of[np.argsort(no, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(no, minlength=n_terms))])  # a term's queries are of[start[no]:start[no + 1]]
+    held = F.array_distinct("nos") if merge else F.col("nos")
+    copies = F.col("copies") if merge else F.lit(1)
+    stats = rows.agg(F.sum(copies).alias("n"), F.sum(F.col("len") * copies).alias("total")).first()
+    df = np.zeros(n_terms)
+    for r in rows.select(F.explode(held).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("df")).toLocalIterator():
+        df[r["no"]] = r["df"]
+    n, avgdl = stats["n"] or 0, (stats["total"] or 0) / max(stats["n"] or 0, 1)
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = rows.sparkSession.sparkContext.broadcast((names.dictionary, of, start, weight))
+    at_once, together = max(1, CELLS // max(n_queries, 1)), max(1, CELLS // max(len(of), 1))
+
+    def block(rows: pa.RecordBatch) -> np.ndarray:
+        """Rows x queries; a few rows at a time, since each term stands for all its queries."""
+        _, of, start, weight = shared.value
+        size, out = rows.column("len").to_numpy(), np.zeros((rows.num_rows, n_queries))
+        for i in range(0, len(size), together):
+            part = rows.slice(i, together)
+            many = pc.list_value_length(part.column("nos")).to_numpy()
+            doc, no, tf = np.repeat(np.arange(len(many)), many), part.column("nos").flatten().to_numpy(), part.column("tfs").flatten().to_numpy().astype(float)
+            if merge:
+                cell, to = np.unique(doc * n_terms + no, return_inverse=True)
+                doc, no, tf = cell // n_terms, cell % n_terms, np.bincount(to, tf, len(cell))
+            gain = weight[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i : i + together][doc] / avgdl))
+            times = start[no + 1] - start[no]
+            hit = np.repeat(np.arange(len(no)), times)
+            query = of[np.arange(len(hit)) - np.repeat(np.cumsum(times) - times - start[no], times)]
+            out[i : i + together] = np.bincount(doc[hit] * n_queries + query, gain[hit], len(many) * n_queries).reshape(-1, n_queries)
+        return out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows if n_queries else 0, at_once):
+                part = batch.slice(i, at_once)
+                scores = block(part)
+                rank = np.empty(len(scores), np.int64)
+                rank[pc.sort_indices(part.column(key), null_placement="at_start").to_numpy()] = np.arange(len(scores))
+                query, row = best_cells(scores, rank, best)
+                for j in range(0, len(row), ROWS_OUT):
+                    q, r = query[j : j + ROWS_OUT], row[j : j + ROWS_OUT]
+                    yield pa.RecordBatch.from_arrays([shared.value[0].take(pa.array(q)), part.column(key).take(pa.array(r)), pa.array(scores[r, q])], ["query", key, "score"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    kept = rows.where("_keep").select(key, "len", "nos", "tfs")
+    return kept.mapInArrow(task, f"query {query_kind}, {key} {kind}, score double")
+
+
+def bm25(docs: DataFrame, key: str, fields: dict[str, int], queries: DataFrame, min_score: float | None = None, keep: Column | None = None, best: int | None = None) -> DataFrame:
     """query, key, score for every pair with a common term, without a stored index.
 
-    ``queries``: query, text. Documents are tokenised once; postings of query terms and the documents'
-    lengths go to the shared folder, and statistics, document frequencies and scores are read from
-    there. Statistics stay those of the whole corpus when ``keep`` filters documents.
+    ``queries``: query, text. Documents are tokenised once; a row a document, with its length and its counts of the
+    queries' terms, goes to the shared folder, and statistics, document frequencies and scores are read from
+    there. Statistics stay those of the whole corpus when ``keep`` filters documents. With ``best`` pairs that cannot
+    be among so many first of their query may be left out where they are scored; ``top_k`` decides.
     """
     asked = asked_terms(queries)
-    few = is_small(asked)
-    terms = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    if is_small(asked):
+        found = asked.toArrow()
+        terms = found.column("term").combine_chunks().dictionary_encode().dictionary.to_pylist()
+        rows = cut(asked_counts(docs, key, fields, terms, kept))
+        # a document is one row, unless its key is repeated
+        again = not is_small(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 0)
+        if again:
+            one = F.collect_list(F.struct("nos", "tfs"))
+            rows = rows.groupBy(key, "len", "_keep").agg(F.count(F.lit(1)).alias("copies"), one.alias("_l"))
+            rows = cut(rows.select(key, "len", "_keep", "copies", F.flatten("_l.nos").alias("nos"), F.flatten("_l.tfs").alias("tfs")))
+        out = scored_in_batches(rows, key, queries.schema["query"].dataType.simpleString(), found, None if again else best, again)
+        out = out.groupBy("query", key).agg(F.sum("score").alias("score")) if again else out
+        return out if min_score is None else out.where(F.col("score") >= min_score)
     own = [key, "len", "_keep"]
-    rows = terms_of(docs, key, fields, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"), parts=pieces(docs))
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("w")))
-    each = rows.select(*own, F.explode(F.concat("ts", itself)).alias("_x")).select(*own, "_x.term", "_x.w")
-    if few:
-        each = each.join(F.broadcast(terms), "term", "left").where("_asked or term is null")
-        found = each.groupBy(*own, "term").agg(F.sum("w").cast("long").alias("tf"))
-    else:  # counted before the terms are shuffled to the queries'
-        found = counted(rows, *own).join(terms, "term", "left").where("_asked or term is null").drop("_asked")
-    return scored(cut(found), key, asked, few, min_score, F.col("_keep"))
+    rows = terms_of(docs, key, fields, kept.alias("_keep"), parts=pieces(docs))
+    terms = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    # counted before the terms are shuffled to the queries'
+    found = counted(rows, *own).join(terms, "term", "left").where("_asked or term is null").drop("_asked")
+    return scored(cut(found), key, asked, False, min_score, F.col("_keep"))
 
 
 def top_k(scored: DataFrame, k: int, by: str, key: str) -> DataFrame:

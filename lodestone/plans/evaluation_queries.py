@@ -69,7 +69,7 @@ def a19(spark, sf):
     words = F.split("text", " ")
     shaped = F.when(F.col("query") % 2 == 0, F.col("text")).otherwise(F.concat(F.try_element_at(words, F.lit(1)), F.lit("_"), F.try_element_at(words, F.lit(2))))
     queries = asked(spark, sf).withColumn("text", shaped)
-    kw = R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, queries), DEPTH, "query", "doc_id")
+    kw = R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, queries, best=DEPTH), DEPTH, "query", "doc_id")
     lists = kw.select("query", F.lit(0).alias("list_no"), "doc_id", "score").union(vector_list(spark, sf).select("query", F.lit(1).alias("list_no"), "doc_id", "score"))
     hit = V.first_by_weight(cut(lists), "doc_id").join(relevant(spark, sf).distinct().withColumn("_hit", F.lit(1)), ["query", "doc_id"], "left")
     rows = hit.join(queries.select("query", identifier_shaped("text").cast("int").alias("shape")), "query")

@@ -96,7 +96,7 @@ def o3w(spark, sf):
     words = F.split("text", " ")
     shaped = F.when(F.col("query") % 2 == 0, F.col("text")).otherwise(F.concat(F.try_element_at(words, F.lit(1)), F.lit("_"), F.try_element_at(words, F.lit(2))))
     queries = asked(spark, sf).withColumn("text", shaped)
-    kw = R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, queries), DEPTH, "query", "doc_id")
+    kw = R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, queries, best=DEPTH), DEPTH, "query", "doc_id")
     sem = vector_list(spark, sf)
     lists = kw.select("query", F.lit(0).alias("list_no"), "rank", "doc_id", "score").union(sem.select("query", F.lit(1).alias("list_no"), "rank", "doc_id", "score"))
     lists, weight = weighted_by_shape(lists, queries)

@@ -20,7 +20,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_list(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
-    return R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, asked(spark, sf)), k, "query", "doc_id")
+    return R.top_k(R.bm25(table(spark, sf, "documents"), "doc_id", BODY, asked(spark, sf), best=k), k, "query", "doc_id")
 
 
 def vector_list(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:

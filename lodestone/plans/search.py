@@ -46,7 +46,7 @@ def hybrid_search(
     depth = max(3 * k, 50)
     asked_for = queries.select("query", "text")
     if index is None:
-        found = R.bm25(docs, key, fields or {text: 1}, asked_for, keep=keep)
+        found = R.bm25(docs, key, fields or {text: 1}, asked_for, keep=keep, best=depth)
     else:
         found = segments.search(docs.sparkSession, index, key, asked_for, keep=None if keep is None else docs.where(keep).select(key))
     kw = R.top_k(found, depth, "query", key)
