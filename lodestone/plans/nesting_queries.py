@@ -43,6 +43,8 @@ FROM ck WHERE cut WINDOW w AS (PARTITION BY key ORDER BY unit)"""
 def t9(spark, sf):
     """A struct of all functions of a brand, cut along functions and blocks."""
     one = F.expr(FUNCTION.replace("chr(10)", "'\\n'").replace('\\"', '"'))
-    sources = table(spark, sf, "part").groupBy(F.col("p_brand").alias("key")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("f")))).alias("_f"))
-    text = F.concat(F.lit("struct all {\n"), F.array_join(F.transform("_f", lambda x: x["f"]), ""), F.lit("};\n"))
-    return N.nested_chunks(sources.select("key", text.alias("text")), "key", "text", TARGET)
+    part = table(spark, sf, "part").withColumnRenamed("p_brand", "key")
+    # no text is put together: its functions are pieces of whole lines, in order
+    edge = lambda place, line: part.select("key").distinct().select("key", F.lit(place).alias("place"), F.lit(None).cast(part.schema["p_partkey"].dataType).alias("p_partkey"), F.lit(line).alias("text"))
+    functions = part.select("key", F.lit(1).alias("place"), "p_partkey", one.alias("text"))
+    return N.nested_chunks(edge(0, "struct all {\n").union(functions).union(edge(2, "};\n")), "key", "text", TARGET, "place", "p_partkey")

@@ -1,5 +1,7 @@
 """Chunks along the nesting of source text."""
 
+import random
+
 from lodestone.operators import nesting as N
 
 
@@ -46,3 +48,26 @@ def test_long_lines_and_deep_nesting(spark):
     assert max(len(c) for c, _ in got) == 501
     deep = "".join("  " * i + f"block{i} {{\n" for i in range(8)) + "".join(f"stmt{i};\n" for i in range(40)) + "}\n" * 8
     assert all(len(c) <= 120 for c, _ in chunks(spark, deep, 120))
+
+
+def written(seed):
+    """Random code of a few hundred lines: nested blocks, comments over many lines, now and then a long line."""
+    rng, out, depth = random.Random(seed), [], 0
+    for i in range(rng.randint(1, 300)):
+        kind = rng.random()
+        out.append("  " * depth + ("{ /* open" if kind < 0.02 else "closed */" if kind < 0.06 else f"f{i}(" + "x" * rng.choice([3, 9, 200]) + ");" if kind < 0.6 else f"block{i} {{" if kind < 0.8 else "}" if kind < 0.97 else ""))
+        depth = max(0, depth + (0.6 <= kind < 0.8) - (0.8 <= kind < 0.97))
+    return "\n".join(out + ["}"] * depth) + rng.choice(["", "\n"])
+
+
+def test_chunks_do_not_depend_on_ranges_or_pieces(spark, monkeypatch):
+    texts = [(f"t{i}", written(i)) for i in range(12)]
+    docs = spark.createDataFrame(texts, "id string, text string")
+    lines = [(k, i // 3, i, x) for k, t in texts for i, x in enumerate(t.splitlines(keepends=True))]
+    pieces = spark.createDataFrame(lines, "id string, place int, line int, text string")
+    got = lambda d, *by: sorted(map(tuple, N.nested_chunks(d, "id", "text", 120, *by).collect()))
+    whole = got(docs)
+    assert len({r[0] for r in whole}) > 9 and len(whole) > 100
+    monkeypatch.setattr(N, "RANGE", 37)  # many ranges a text; before, all lines of a text were ordered by one task
+    assert got(docs) == whole
+    assert got(pieces, "place", "line") == whole
