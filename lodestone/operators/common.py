@@ -50,7 +50,11 @@ def pieces(df: DataFrame) -> int:
     return PIECES_A_CORE * max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
 
 
+def group_pieces(df: DataFrame) -> int:
+    """Pieces for work on groups of rows: enough for all cores, and as many as a shuffle makes."""
+    return max(PIECES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def by_groups(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by ``keys`` over all cores for work in Python: sizes in bytes, by which Spark joins small pieces, say nothing of what a group takes."""
-    parts = max(PIECES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *keys)
+    return df.repartition(group_pieces(df), *keys)
