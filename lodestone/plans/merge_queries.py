@@ -133,6 +133,6 @@ def h15(spark, sf):
     snapshots = N.taken(edits, half)
     N.keep(snapshots.withColumn("lines", F.when(F.col("file") % 3 == 0, F.concat("lines", F.array(F.lit("damage")))).otherwise(F.col("lines"))), path)
     states, remade = N.replayed_from(edits, path)
-    states, (_, again) = cut(states), N.replayed_from(edits, path)
+    states, (_, again) = cut(states), N.healed(edits, path)
     count = lambda n, name: F.lit(n).cast("long").alias(name)
     return states.select("file", F.size("lines").alias("n"), F.concat_ws("\n", "lines").alias("text"), "existing", count(remade, "remade"), count(again, "remade_again"))
