@@ -57,3 +57,12 @@ def test_edits_in_place_equal_maps():
             size = S.edited(text, size, p, *edit)
             assert size == sum(b - a for _, a, b in text)
         assert lines(text) == lines(S.all_composed(maps)) and S.all_sizes(sizes)(n) == size
+
+
+def test_blame_of_files_that_ranges_cut(spark):
+    rows = log(random.Random(7), ["hot"] * 5 + ["a", "b", "c"], 500)
+    commits = spark.createDataFrame(rows, SCHEMA)
+    sources = S.line_sources(commits, edits_a_run=3)
+    assert "FlatMapGroups" not in sources._jdf.queryExecution().executedPlan().toString()
+    got = {(r.file, r.line): r.pos for r in S.blamed(sources).collect()}
+    assert got == {(f, i): int(x.split(".")[0]) for f, (text, _) in in_order(rows).items() for i, x in enumerate(text, 1)}
