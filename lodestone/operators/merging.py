@@ -21,9 +21,10 @@ origin (the hash that a copy was first written as, the own hash otherwise), sess
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +204,56 @@ def streams(records: DataFrame, chain: DataFrame) -> DataFrame:
 _PLACED = "into_branch {b}, target {t}, file {f}, seq long, state string, start int, ended boolean, why string"
 
 
+_COMMIT = ("op", "old_start", "old_lines", "old_text", "new_text", "ended")
+_PLACE_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+#: Places that a task hands on at once.
+PLACES_AT_ONCE = 10_000
+
+
+def _files(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[tuple[tuple, dict, list[tuple]]]:
+    """(keys, state, commits) of each file, out of rows in order; ``kinds`` gets the types of the keys."""
+    held = None
+    for batch in batches:
+        names = batch.schema.names
+        kinds[:] = [batch.schema.field(c).type for c in names[:3]]
+        for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+            if row[3] is None:
+                if held is not None:
+                    yield held
+                held = row[:3], dict(zip(names, row, strict=True)), []
+            else:
+                held[2].append(row[3:10])
+    if held is not None:
+        yield held
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each file's commits, in order."""
+    kinds: list = []
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        types = (*kinds, *_PLACE_TYPES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["into_branch", "target", "file", "seq", "state", "start", "ended", "why"])
+
+    text = lambda x: None if x is None else (x["lines"], bool(x["ended"]))
+    for keys, state, commits in _files(batches, kinds):
+        if state["stopped"]:
+            found = [("left", None, None, "stopped by an earlier merge")] * len(commits)
+        else:
+            edits = [
+                {"op": op, "old_start": start, "old_lines": n, "old_text": old or [], "new_text": new or [], "ended": ended is None or ended}
+                for _, op, start, n, old, new, ended in commits
+            ]
+            found = Placing(text(state["base"]) or EMPTY, text(state["parent"])).place(edits)
+        out += [(*keys, c[0], *f) for c, f in zip(commits, found, strict=True)]
+        if len(out) >= PLACES_AT_ONCE:
+            yield made()
+            out = []
+    if out:
+        yield made()
+
+
 def placements(stream: DataFrame, records: DataFrame) -> DataFrame:
     """into_branch, target, file, seq, state, start, ended, why of every new commit of each merge."""
     commits = stream.where("type = 'commit'")
@@ -223,28 +274,12 @@ def placements(stream: DataFrame, records: DataFrame) -> DataFrame:
     members = stream.where("member is not null").select("into_branch", "target", "member").distinct()
     stopped = stopped.join(members, ["target", "member"]).select(*keys, F.lit(True).alias("stopped")).distinct()
     states = touched.join(state(before, "seq", "base"), keys, "left").join(state(parent_rows, "pos", "parent"), keys, "left").join(stopped, keys, "left")
-    states = states.select(*[F.col(c).alias(c) for c in states.columns])  # the rows of a cogroup need names of their own
-
-    def task(key, group: pd.DataFrame, of_file: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        if not len(group):
-            return pd.DataFrame({c: [] for c in (*keys, "seq", "state", "start", "ended", "why")})
-        held = of_file.iloc[0]
-        text = lambda x: None if x is None else (list(x["lines"]), bool(x["ended"]))
-        if held["stopped"] == True:  # noqa: E712  it may be null
-            found = [("left", None, None, "stopped by an earlier merge")] * len(group)
-        else:
-            edits = [
-                {"op": op, "old_start": int(start), "old_lines": int(n), "old_text": [] if old is None else list(old), "new_text": [] if new is None else list(new), "ended": ended is None or bool(ended)}
-                for op, start, n, old, new, ended in zip(group["op"], group["old_start"], group["old_lines"], group["old_text"], group["new_text"], group["ended"], strict=True)
-            ]
-            found = Placing(text(held["base"]) or EMPTY, text(held["parent"])).place(edits)
-        out = pd.DataFrame(found, columns=["state", "start", "ended", "why"])
-        return pd.DataFrame({**{c: group[c].values for c in (*keys, "seq")}, "state": out["state"], "start": out["start"].astype("Int32"), "ended": out["ended"].astype("boolean"), "why": out["why"]})
 
     kinds = {c: stream.schema[n].dataType.simpleString() for c, n in (("b", "into_branch"), ("t", "target"), ("f", "file"))}
-    narrow = new.select(*keys, "seq", "op", "old_start", "old_lines", "old_text", "new_text", "ended")
-    return by_groups(narrow, *keys).groupBy(*keys).cogroup(by_groups(states, *keys).groupBy(*keys)).applyInPandas(task, _PLACED.format(**kinds))
+    narrow = new.select(*keys, "seq", *_COMMIT)
+    # a file's state comes before its commits
+    rows = by_groups(narrow.unionByName(states, allowMissingColumns=True), *keys).sortWithinPartitions(*keys, F.col("seq").asc_nulls_first())
+    return rows.mapInArrow(_placed, _PLACED.format(**kinds))
 
 
 def merge_records(stream: DataFrame, placed: DataFrame) -> DataFrame:
