@@ -12,7 +12,7 @@ QUERIES, ORACLES = load()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["h17_chain_records"])
+@pytest.mark.parametrize("name", ["h17_chain_records", "h32_appended_records"])
 def test_merge_without_groups(spark, monkeypatch, name):
     from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
 
